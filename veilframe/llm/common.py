@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def cut(batch: pa.RecordBatch, text: str, limit: int = KERNEL_BYTES) -> Iterator
     if column.nbytes <= limit:
         yield batch
         return
-    sizes = [0 if v is None else v for v in pa.compute.binary_length(column).to_pylist()]
+    sizes = [0 if v is None else v for v in pc.binary_length(column).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > start:
@@ -69,8 +70,6 @@ def map_text(df: DataFrame, factory: Callable, schema: str, keys: list[str], tex
 
     factory() is called once per task and returns kernel(list of str) -> {column: values}. A null text is "".
     """
-    import pyarrow.compute  # noqa: F401
-
     kept = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     key_fields = [kept.schema[k] for k in keys]
     from pyspark.sql.pandas.types import to_arrow_schema
