@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import packing, piece_encoding, quality_model, quality_rules, secret_scan, toxicity, url_filter
+from veilframe.llm import jaccard_join, language_model, packing, piece_encoding, quality_model, quality_rules, secret_scan, toxicity, url_filter
 from veilframe.llm.common import held_out, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -32,6 +32,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
@@ -51,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_packing, op7_quality_classifier, op8_piece_encoding, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_packing, op5_language_model, op6_jaccard_join, op7_quality_classifier, op8_piece_encoding, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
