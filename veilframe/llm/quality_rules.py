@@ -68,7 +68,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per document: base counts, class counts and common-word counts."""
+    """One row per document: its keys (as __keys, so that no name clashes), base counts, class and common-word counts."""
     t = F.coalesce(F.col(text), F.lit(""))
     gone = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))).cast("long")
 
@@ -86,11 +86,11 @@ def features(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^ \t-\x0D]")), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
     words = F.filter(F.split(t, SPACE, -1), lambda w: w != "")
-    out = df.select(*keys, let(words, of_words).alias("w"), gone(r"[#*$%&|<>]").alias("n_symbols"), lines.alias("n_dup_lines"), F.length(t).cast("long").alias("n_chars"), *[gone(p).alias(f"c_{k}") for k, p in CLASSES.items()])
+    out = df.select(F.struct(*keys).alias("__keys"), let(words, of_words).alias("w"), gone(r"[#*$%&|<>]").alias("n_symbols"), lines.alias("n_dup_lines"), F.length(t).cast("long").alias("n_chars"), *[gone(p).alias(f"c_{k}") for k, p in CLASSES.items()])
     rest = F.col("n_chars") - sum(F.col(f"c_{k}") for k in CLASSES)
     hits = F.array(*[hits_of(F.col("w.common"), ws) for ws in COMMON.values()])
     lang = F.when(F.array_max(hits) > 0, F.array_position(hits, F.array_max(hits)) - 1).otherwise(len(COMMON)).cast("int")
-    return out.select(*keys, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.common", F.array(rest, *[F.col(f"c_{k}") for k in CLASSES]).alias("classes"), lang.alias("lang_bin"))
+    return out.select("__keys", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.common", F.array(rest, *[F.col(f"c_{k}") for k in CLASSES]).alias("classes"), lang.alias("lang_bin"))
 
 
 def references(rows: DataFrame, guard_words: int = GUARD_WORDS) -> tuple[list[list[float]], list[list[float]]]:
@@ -154,4 +154,4 @@ def quality_rules(df: DataFrame, keys: list[str] | None = None, text: str = "tex
 
     judged = rows.withColumns({"class_distance": let(F.get(table_of(classes), F.col("lang_bin")), class_distance), "word_distance": let(F.get(table_of(words), F.col("lang_bin")), word_distance)})
     near = (F.col("n_words") < guard_words) | ((F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_word))
-    return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), "class_distance", "word_distance", (~failed() & near).alias("kept"))
+    return judged.select("__keys.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), "class_distance", "word_distance", (~failed() & near).alias("kept"))

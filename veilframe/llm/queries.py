@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import jaccard_join, language_model, packing, piece_encoding, quality_model, quality_rules, secret_scan, toxicity, url_filter
+from veilframe.llm import bm25_search, jaccard_join, language_model, packing, piece_encoding, quality_model, quality_rules, secret_scan, toxicity, url_filter
 from veilframe.llm.common import held_out, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage whose id is divisible by 20, searched in all documents."""
+    return bm25_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -59,8 +64,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_toxicity, op4_packing, op5_language_model, op6_jaccard_join, op7_quality_classifier, op8_piece_encoding, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_secret_scan, op3_toxicity, op4_packing, op5_language_model, op6_jaccard_join, op7_quality_classifier, op8_piece_encoding, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_bm25_search": bm25_search.SQL}
