@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Arrow batches are cut so that one kernel call sees at most this many bytes of text (one text always fits).
 KERNEL_BYTES = 16 << 20
+#: Tables of this session in the shared folder.
+WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +37,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    try:
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended; the cluster's own clean-up remains
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to; else they stay until the driver next collects garbage.
+
+    Twice, as the first collection only frees what the second one can find unreferenced.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
-    The written table survives lost executors; a later stage recomputes from it, not from the corpus.
+    The written table survives lost executors; a later stage recomputes from it, not from the corpus. Tables are deleted
+    when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if not WRITTEN:
+        atexit.register(drop_scratch, spark, WRITTEN)
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -9,12 +9,13 @@ exact and its steps are:
    of very many texts leaves a task once per chunk.
 3. For the rest, tokens are counted exactly. In rare-first order, a set whose tokens of its own outnumber the allowed
    difference has no prefix left and is dropped as well.
-4. Each token's postings get star pairs to the set with the fewest tokens of its own. Pairs are checked by a prefix tree:
-   the partners of one set, in blocks, form a tree over the ordered tokens; one walk shares the partial overlaps of
-   common beginnings and leaves subtrees that can no longer reach the overlap that 0.8 needs.
-5. Sets that are already connected need no more checks. What remains is pairs of different components in one posting
-   that the counts of shared tokens still allow; they are checked in the same way. No group emits all its pairs, and no
-   link between different components is lost.
+4. The centre of a prefix token is the set with the fewest tokens of its own; sets are around the centres of their
+   prefix tokens. Sets are checked by prefix trees: blocks of sets form a tree over the ordered tokens; a probing set's
+   walk shares the partial overlaps of common beginnings and leaves subtrees that can no longer reach the overlap that
+   0.8 needs. First each centre probes the sets around it.
+5. Sets that are connected by then need no more checks. Around each centre, the sets outside its largest component
+   probe blocks of all sets around it, walking past subtrees of their own component. Only links leave a task, never
+   all pairs of a group, and no link between different components is lost.
 
 Defined cases: an empty or null text has an empty set and links with nothing; under five words, the whole sequence is one
 item; very long texts are read whole; repeated rows are of one class; a row with a null id links with nothing and has a
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import KERNEL_BYTES, cut, map_text, materialize
+from veilframe.llm.common import KERNEL_BYTES, cut, map_text, materialize, release
 from veilframe.llm.components import components
 
 WORDS = 5
@@ -40,6 +41,10 @@ PERCENT = 80
 EXTRA = 0.05
 #: Partners in a prefix tree at most.
 BLOCK = 256
+#: Rows of a few numbers each that are broadcast at most, about 16 MB.
+MOST_BROADCAST = 400_000
+#: Tokens of a run that a walk counts before it looks at the bound again.
+STEP = 48
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -149,75 +154,105 @@ def feasible(n_a: Column, sh_a: Column, n_b: Column, sh_b: Column) -> Column:
 
 
 class SetTree:
-    """A prefix tree of sorted token arrays; a node has a run of tokens, the sizes below it and its own sets."""
+    """A prefix tree of sorted token arrays; a node has a run of tokens, the sizes and the component below it, its own sets."""
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]):
-        self.root = self.build(sorted(sets, key=lambda s: s[1].tolist()), 0)
+    def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
+        self.root = self.build(sorted(sets, key=lambda s: s[2].tolist()), 0)
 
-    def build(self, sets: list[tuple[int, np.ndarray]], depth: int) -> dict:
-        a, b = sets[0][1][depth:], sets[-1][1][depth:]
+    def build(self, sets: list[tuple[int, int, np.ndarray]], depth: int) -> dict:
+        a, b = sets[0][2][depth:], sets[-1][2][depth:]
         m = min(len(a), len(b))
         differ = np.nonzero(a[:m] != b[:m])[0]
         common = int(differ[0]) if len(differ) else m
         end = depth + common
-        node = {"run": a[:common], "end": end, "min": min(len(s) for _, s in sets), "max": max(len(s) for _, s in sets), "ids": [(i, len(s)) for i, s in sets if len(s) == end], "below": []}
-        rest, start = [s for s in sets if len(s[1]) > end], 0
+        kinds = {c for _, c, _ in sets}
+        node = {"run": a[:common], "start": depth, "min": min(len(s) for *_, s in sets), "max": max(len(s) for *_, s in sets), "of": kinds.pop() if len(kinds) == 1 else None, "ids": [(i, c, len(s)) for i, c, s in sets if len(s) == end], "below": []}
+        rest, start = [s for s in sets if len(s[2]) > end], 0
         for k in range(1, len(rest) + 1):
-            if k == len(rest) or rest[k][1][end] != rest[start][1][end]:
+            if k == len(rest) or rest[k][2][end] != rest[start][2][end]:
                 node["below"].append(self.build(rest[start:k], end))
                 start = k
         return node
 
-    def walk(self, probe: np.ndarray) -> list[int]:
-        """Ids of the sets that link with probe."""
+    def walk(self, probe: np.ndarray, own: int) -> list[tuple[int, int]]:
+        """(id, component) of the sets that link with probe and aren't of its own component."""
         out, n, stack = [], len(probe), [(self.root, 0, 0)]
         while stack:
             node, overlap, passed = stack.pop()
-            run = node["run"]
-            if len(run):
-                at = np.searchsorted(probe, run)
-                overlap += int((probe[np.minimum(at, n - 1)] == run).sum())
-                passed = int(np.searchsorted(probe, run[-1], side="right"))
-            most = overlap + min(node["max"] - node["end"], n - passed)
-            if not linked(most, n, max(node["min"], most)):
+            if node["of"] == own:
                 continue
-            out += [i for i, size in node["ids"] if linked(overlap, n, size)]
-            stack += [(x, overlap, passed) for x in node["below"]]
+            run, at, alive = node["run"], node["start"], True
+            for k in range(0, len(run) + 1, STEP):
+                # the overlap that the longest set below may still reach, against the shortest union
+                most = overlap + min(node["max"] - at, n - passed)
+                if not linked(most, n, max(node["min"], most)):
+                    alive = False
+                    break
+                part = run[k : k + STEP]
+                if len(part):
+                    found = np.searchsorted(probe, part)
+                    overlap += int((probe[np.minimum(found, n - 1)] == part).sum())
+                    passed = int(np.searchsorted(probe, part[-1], side="right"))
+                    at += len(part)
+            if alive:
+                out += [(i, c) for i, c, size in node["ids"] if c != own and linked(overlap, n, size)]
+                stack += [(x, overlap, passed) for x in node["below"]]
         return out
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Step 4: the pairs (a, b) that link, as (u, v). The partners of an a are dealt to blocks of about BLOCK."""
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__c"))
-    blocked = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("__c") / BLOCK))).select("a", "b", "block")
-    partners = blocked.join(sets.select(F.col("rid").alias("b"), "tokens"), "b").select("a", "block", F.lit(1).alias("role"), F.col("b").alias("id"), "tokens")
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__c") / BLOCK) - 1)).alias("block")).join(sets.select(F.col("rid").alias("a"), "tokens"), "a").select("a", "block", F.lit(0).alias("role"), F.col("a").alias("id"), "tokens")
+def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Step 4: members and probes (group, block, id, component); links (u, v) of a probe to one set of each component.
 
-    def run(batches):
-        group, probe, partners = None, None, []
-
-        def flush():
-            found = sorted(set(SetTree(partners).walk(probe))) if probe is not None and len(probe) and partners else []
-            return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(found) if group else [], pa.int64()), pa.array(found, pa.int64())], names=["u", "v"])
+    Blocks are bounded by their makers, so a task holds one block's tree at a time; probes stream past it.
+    """
+    rows = materialize(members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))), "join-blocks")
+    # few rows go to the sets, by a checked size; else both sides are shuffled on the id
+    rows = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+    rows = rows.join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select("group", "block", "role", "id", "component", "tokens")
 
+    def run(batches):
+        group, held, tree = None, [], None
         for b in batches:
-            a, block, role, ids, tokens = (b.column(i) for i in range(5))
-            starts, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
-            for k, (x, y, r, i) in enumerate(zip(a.to_pylist(), block.to_pylist(), role.to_pylist(), ids.to_pylist())):
-                if (x, y) != group:
-                    if partners:
-                        yield flush()
-                    group, probe, partners = (x, y), None, []
+            tokens = b.column(5)
+            starts, flat, us, vs = tokens.offsets.to_numpy(), tokens.values.to_numpy(), [], []
+            for k, (*now, role, i, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(5)))):
+                if now != group:
+                    group, held, tree = now, [], None
                 s = flat[starts[k] : starts[k + 1]]
-                if r == 0:
-                    probe = s
-                else:
-                    partners.append((i, s))
-        if partners:
-            yield flush()
+                if role == 0:
+                    held.append((i, c, s.copy()))
+                elif held:
+                    tree = tree or SetTree(held)
+                    for v, _ in {x: (v, x) for v, x in tree.walk(s, c)}.values():
+                        us.append(i)
+                        vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "role").mapInArrow(run, "u long, v long")
 
-    rows = partners.unionByName(heads).repartition("a", "block").sortWithinPartitions("a", "block", "role")
-    return rows.mapInArrow(run, "u long, v long")
+
+def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each centre a to its partners b, dealt to blocks of about BLOCK partners."""
+    blocks = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    members = stars.join(blocks, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("id"), F.col("b").alias("component"))
+    probes = blocks.select(F.col("a").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("id"), F.col("a").alias("component"))
+    return probed(members, probes, sets)
+
+
+def cross_links(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """Step 5: links between different components among the sets around (group, id, component) each centre.
+
+    The largest component of a group and all others get blocks of their own; only the others' sets are probes.
+    """
+    sizes = around.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
+    shape = shape.select("group", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("others"))
+    rows = around.join(shape, "group")
+    is_main = F.col("component") == F.col("main")
+    block = F.when(is_main, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
+    members = rows.select("group", block.alias("block"), "id", "component")
+    probes = rows.where(~is_main).select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mains") + F.col("others") - 1)).alias("block"), "id", "component")
+    return probed(members, probes, sets)
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,23 +260,21 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = materialize(digests(df, key, text), "join-digests")
     chosen = short_list(rows.where(F.col("__key").isNotNull()))
     sets = materialize(sets_of(df, chosen, key, text), "join-sets")
+    del chosen
+    release(df.sparkSession)
     posted = materialize(postings(sets), "join-postings")
+    release(df.sparkSession)
     centre = posted.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("sh")).alias("own"), "rid", "n", "sh")).alias("c"))
-    stars = posted.join(centre, "token").where((F.col("c.rid") != F.col("rid")) & feasible(F.col("n"), F.col("sh"), F.col("c.n"), F.col("c.sh"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")).distinct()
-    stars = materialize(stars, "join-stars")
-    links = materialize(checked(stars, sets), "join-links")
-    joined = components(links)
-    known = posted.join(joined.withColumnRenamed("id", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    known = materialize(known, "join-known")
-    open_tokens = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left = known.join(open_tokens, "token", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, F.col("a.token") == F.col("b.token")).where((F.col("a.component") < F.col("b.component")) & feasible(F.col("a.n"), F.col("a.sh"), F.col("b.n"), F.col("b.sh")))
-    rest = rest.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
-    for x, y in (("a", "b"), ("b", "a")):
-        rest = rest.join(stars.select(F.col("a").alias(x), F.col("b").alias(y)), ["a", "b"], "left_anti")
-    rest = materialize(rest, "join-rest")
-    more = materialize(checked(rest, sets), "join-more")
+    # a set is around the centre of each of its prefix tokens; two sets with a common prefix token have a common centre
+    around = posted.join(centre, "token").groupBy(F.col("c.rid").alias("group"), F.col("rid").alias("id")).agg(F.first(feasible(F.col("n"), F.col("sh"), F.col("c.n"), F.col("c.sh"))).alias("may_link"))
+    around = materialize(around, "join-around")
+    stars = around.where((F.col("group") != F.col("id")) & F.col("may_link")).select(F.col("group").alias("a"), F.col("id").alias("b"))
+    joined = components(materialize(star_links(stars, sets), "join-links"))
+    # centres of one component make one group, so that a set is in few groups
+    known = around.select("group", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of_centre = joined.select(F.col("id").alias("group"), F.col("component").alias("whole"))
+    known = known.join(of_centre, "group", "left").select(F.coalesce("whole", "group").alias("group"), "id", "component").distinct()
+    more = materialize(cross_links(materialize(known, "join-known"), sets), "join-more")
     final = components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(more), "components-final")
     classes = rows.where(F.col("__key").isNotNull() & (F.col("n") > 0)).groupBy("fp").agg(F.min("__key").alias("rid"))
     classes = classes.join(final.withColumnRenamed("id", "rid"), "rid", "left").select("fp", F.coalesce("component", "rid").alias("component_id"))
