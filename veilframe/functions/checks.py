@@ -26,7 +26,7 @@ def all_digits(text: Column, n: int | None = None) -> Column:
 
 def luhn_valid(text: Column) -> Column:
     """Luhn over two digits or more."""
-    return F.when(text.rlike("^[0-9]{2,}$"), F.luhn_check(text)).otherwise(F.lit(False))
+    return F.when(text.rlike("^[0-9]{2,}$"), F.call_function("luhn_check", text)).otherwise(F.lit(False))
 
 
 def mod_string(text: Column, modulus: int) -> Column:
@@ -52,7 +52,7 @@ def aba_valid(text: Column) -> Column:
 
 
 def npi_valid(text: Column) -> Column:
-    return F.when(text.rlike("^[12][0-9]{9}$"), F.luhn_check(F.concat(F.lit("80840"), text))).otherwise(F.lit(False))
+    return F.when(text.rlike("^[12][0-9]{9}$"), F.call_function("luhn_check", F.concat(F.lit("80840"), text))).otherwise(F.lit(False))
 
 
 def verhoeff_valid(text: Column) -> Column:
