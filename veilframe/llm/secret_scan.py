@@ -123,7 +123,8 @@ def scan(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, in
         base = list(found)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(s <= a and b <= e for s, _, e in base) and is_hard(text[a:b], least):
+            # a bracketed value is a placeholder or a variable, as redact() leaves
+            if text[a] not in "[{(<$" and not any(s <= a and b <= e for s, _, e in base) and is_hard(text[a:b], least):
                 found.append((a, 3, b))
     return sorted(found)
 
