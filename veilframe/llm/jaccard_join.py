@@ -281,3 +281,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     out = rows.select("__key", "n", "fp").join(classes, "fp", "left")
     found = F.when(F.col("__key").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("__key")).otherwise(F.col("component_id"))
     return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
+
+
+#: The same rows by brute force, for DuckDB; quadratic in the size of groups, so for small tables.
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS h FROM s),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+m AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT m.v, r.c FROM r JOIN m ON m.u = r.id AND r.c < m.v)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.id = n.doc_id GROUP BY ALL
+"""

@@ -155,3 +155,35 @@ def quality_rules(df: DataFrame, keys: list[str] | None = None, text: str = "tex
     judged = rows.withColumns({"class_distance": let(F.get(table_of(classes), F.col("lang_bin")), class_distance), "word_distance": let(F.get(table_of(words), F.col("lang_bin")), word_distance)})
     near = (F.col("n_words") < guard_words) | ((F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_word))
     return judged.select("__keys.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), "class_distance", "word_distance", (~failed() & near).alias("kept"))
+
+
+def duckdb_sql() -> str:
+    """The same rows as the query's, for DuckDB."""
+    vocabulary = ", ".join(f"'{w}'" for w in VOCABULARY)
+    gone = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+    hits = ", ".join(f"list_sum(list_transform([{', '.join(str(VOCABULARY.index(x) + 1) for x in ws)}], lambda b: bins[b]))" for ws in COMMON.values())
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / (p + q)) ELSE 0 END"
+    distance = f"sqrt(greatest(0, sum(({part('p')} + {part('q')}) / 2)))"
+    bad = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+    own = lambda medians: f"SELECT k, coalesce((SELECT q FROM {medians} WHERE lang_bin = k), (SELECT q FROM {medians} WHERE lang_bin IS NULL)) AS q FROM range({len(LANGS)}) AS g(k)"
+    median = lambda values, n: f"SELECT lang_bin, list(q ORDER BY bin) AS q FROM (SELECT lang_bin, bin, quantile_cont(round(share, 3), 0.5) AS q FROM (SELECT lang_bin, unnest(range(1, len({values}) + 1)) AS bin, unnest({values}) / {n} AS share FROM j) GROUP BY GROUPING SETS ((lang_bin, bin), (bin))) GROUP BY lang_bin"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS h FROM t),
+y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM x) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM y, range(5) AS g(k) GROUP BY doc_id),
+f AS (SELECT doc_id, t, w, list_transform(w, lambda x: coalesce(list_position([{vocabulary}], lower(x)), 0)) AS found, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\x0D]')) AS ls FROM t),
+c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone('[#*$%&|<>]')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  list_transform(range(1, {BINS}), lambda b: len(list_filter(found, lambda x: x = b))) AS bins, length(t) AS n_chars, [{', '.join(gone(p) for p in CLASSES.values())}] AS named FROM f),
+b AS (SELECT c.*, coalesce(r.n, 0) AS n_repeat_words, list_prepend(n_chars - list_sum(named), named) AS classes, [{hits}] AS hits FROM c LEFT JOIN r USING (doc_id)),
+a AS (SELECT *, CASE WHEN list_max(hits) > 0 THEN list_position(hits, list_max(hits)) - 1 ELSE {len(COMMON)} END AS lang_bin FROM b),
+j AS (SELECT * FROM a WHERE n_words >= {GUARD_WORDS} AND NOT ({bad}) AND lang_bin < {len(COMMON)}),
+mc AS ({median('classes', 'greatest(list_sum(classes), 1)')}),
+mw AS ({median('bins', 'n_words')}),
+rc AS (SELECT k, list_transform(q, lambda x: x / list_sum(q)) AS q FROM ({own('mc')})),
+rw AS (SELECT k, list_prepend(1 - list_sum(q), q) AS q FROM ({own('mw')})),
+dc AS (SELECT doc_id, {distance} AS d FROM (SELECT doc_id, unnest(list_transform(classes, lambda x: x / greatest(list_sum(classes), 1))) AS p, unnest(q) AS q FROM a JOIN rc ON k = lang_bin) GROUP BY doc_id),
+dw AS (SELECT doc_id, {distance} AS d FROM (SELECT doc_id, unnest(list_transform(list_prepend(n_words - list_sum(bins), bins), lambda x: x / greatest(n_words, 1))) AS p, unnest(q) AS q FROM a JOIN rw ON k = lang_bin) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, ({bad}) AS base_failed, NOT ({bad}) AND (n_words < {GUARD_WORDS} OR (dc.d <= {MAX_CLASS_DISTANCE} AND dw.d <= {MAX_WORD_DISTANCE})) AS kept
+FROM a JOIN dc USING (doc_id) JOIN dw USING (doc_id)
+"""

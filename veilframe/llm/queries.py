@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bm25_search": bm25_search.SQL}
+    return {"op1_bm25_search": bm25_search.SQL, "op6_jaccard_join": jaccard_join.SQL, "op10_quality_rules": quality_rules.duckdb_sql()}
