@@ -14,8 +14,9 @@ exact and its steps are:
    walk shares the partial overlaps of common beginnings and leaves subtrees that can no longer reach the overlap that
    0.8 needs. First each centre probes the sets around it.
 5. Sets that are connected by then need no more checks. Around each centre, the sets outside its largest component
-   probe blocks of all sets around it, walking past subtrees of their own component. Only links leave a task, never
-   all pairs of a group, and no link between different components is lost.
+   probe blocks of all sets around it, walking past subtrees of their own component. Probes are cut into chunks as
+   members are into blocks, so one task's unit of work is bounded whatever the group's size. Only links leave a task,
+   never all pairs of a group, and no link between different components is lost.
 
 Defined cases: an empty or null text has an empty set and links with nothing; under five words, the whole sequence is one
 item; very long texts are read whole; repeated rows are of one class; a row with a null id links with nothing and has a
@@ -39,8 +40,8 @@ WORDS = 5
 PERCENT = 80
 #: Prefixes of step 2 are longer by this share, and so many more shared tokens are asked for (times PERCENT).
 EXTRA = 0.05
-#: Partners in a prefix tree at most.
-BLOCK = 256
+#: Partners in a prefix tree, and probes that walk it in one unit of work, about.
+BLOCK = 128
 #: Rows of a few numbers each that are broadcast at most, about 16 MB.
 MOST_BROADCAST = 400_000
 #: Tokens of a run that a walk counts before it looks at the bound again.
@@ -201,21 +202,23 @@ class SetTree:
 
 
 def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Step 4: members and probes (group, block, id, component); links (u, v) of a probe to one set of each component.
+    """Members and probes (group, block, chunk, id, component); links (u, v) of a probe to one set of each component.
 
-    Blocks are bounded by their makers, so a task holds one block's tree at a time; probes stream past it.
+    A unit is a block of members and a chunk of probes, both bounded by their makers; a task holds one block's tree at a
+    time and the chunk's probes stream past it.
     """
     rows = materialize(members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))), "join-blocks")
     # few rows go to the sets, by a checked size; else both sides are shuffled on the id
     rows = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
-    rows = rows.join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select("group", "block", "role", "id", "component", "tokens")
+    unit = ["group", "block", "chunk"]
+    rows = rows.join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select(*unit, "role", "id", "component", "tokens")
 
     def run(batches):
         group, held, tree = None, [], None
         for b in batches:
-            tokens = b.column(5)
+            tokens = b.column(6)
             starts, flat, us, vs = tokens.offsets.to_numpy(), tokens.values.to_numpy(), [], []
-            for k, (*now, role, i, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(5)))):
+            for k, (*now, role, i, c) in enumerate(zip(*(b.column(j).to_pylist() for j in range(6)))):
                 if now != group:
                     group, held, tree = now, [], None
                 s = flat[starts[k] : starts[k + 1]]
@@ -228,30 +231,35 @@ def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
                         vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "role").mapInArrow(run, "u long, v long")
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "role").mapInArrow(run, "u long, v long")
 
 
 def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of each centre a to its partners b, dealt to blocks of about BLOCK partners."""
     blocks = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = stars.join(blocks, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.col("b").alias("id"), F.col("b").alias("component"))
-    probes = blocks.select(F.col("a").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("id"), F.col("a").alias("component"))
+    chunk = F.lit(0).cast("long").alias("chunk")
+    members = stars.join(blocks, "a").select(F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), chunk, F.col("b").alias("id"), F.col("b").alias("component"))
+    probes = blocks.select(F.col("a").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), chunk, F.col("a").alias("id"), F.col("a").alias("component"))
     return probed(members, probes, sets)
 
 
 def cross_links(around: DataFrame, sets: DataFrame) -> DataFrame:
     """Step 5: links between different components among the sets around (group, id, component) each centre.
 
-    The largest component of a group and all others get blocks of their own; only the others' sets are probes.
+    The largest component of a group and all others get blocks of their own; only the others' sets are probes. The k-th
+    chunk of probes has the sets of the others' k-th block and meets the main blocks and the others' blocks from the
+    k-th on, so two sets meet once and members are copied once for each chunk of up to about BLOCK probes.
     """
     sizes = around.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
     shape = shape.select("group", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("others"))
     rows = around.join(shape, "group")
-    is_main = F.col("component") == F.col("main")
-    block = F.when(is_main, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
-    members = rows.select("group", block.alias("block"), "id", "component")
-    probes = rows.where(~is_main).select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mains") + F.col("others") - 1)).alias("block"), "id", "component")
+    is_main, zero = F.col("component") == F.col("main"), F.lit(0).cast("long")
+    nth = F.pmod(F.xxhash64("id"), F.col("others"))
+    block = F.when(is_main, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + nth)
+    members = rows.select("group", block.alias("block"), F.explode(F.sequence(zero, F.when(is_main, F.col("others") - 1).otherwise(nth))).alias("chunk"), "id", "component")
+    met = F.concat(F.sequence(zero, F.col("mains") - 1), F.sequence(F.col("mains") + nth, F.col("mains") + F.col("others") - 1))
+    probes = rows.where(~is_main).select("group", F.explode(met).alias("block"), nth.alias("chunk"), "id", "component")
     return probed(members, probes, sets)
 
 
