@@ -286,7 +286,6 @@ coin("crypto-trx", r"\bT[1-9A-HJ-NP-Za-km-z]{33}\b", lambda s: version(s, 0x41),
 coin("crypto-sol", r"\b[1-9A-HJ-NP-Za-km-z]{32,44}\b", lambda s: len(base58(s) or b"") == 32, "sol-structural", MEDIUM)
 coin("crypto-dot", r"\b1[1-9A-HJ-NP-Za-km-z]{44,50}\b", lambda s: len(raw := base58(s) or b"") == 35 and raw[0] == 0, "ss58-structural", MEDIUM)
 coin("crypto-ada", r"\b(?:addr1[02-9ac-hj-np-z]{20,110}|(?:Ae2|DdzFF)[1-9A-HJ-NP-Za-km-z]{20,120})\b", lambda s: bool((got := bech32(s)) and got[0] == "addr" and got[2] == 1) if s.startswith("addr1") else len(base58(s) or b"") >= 30, "bech32")
-coin("crypto-eth", r"\b0x[0-9a-fA-F]{40}\b", lambda s: int(s, 16) > 0, "eth-structural", MEDIUM)
 
 # documents
 number("vin", "VIN", GLOBAL, r"\b[A-HJ-NPR-Z0-9]{17}\b", lambda s, m: not s.isdigit() and "0123456789X"[sum(int(c if c.isdigit() else "12345678*12345*7*923456789"["ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)]) * w for c, w in zip(s, (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2))) % 11] == s[8], "iso3779", check_apart=False)

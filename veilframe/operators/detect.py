@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.text import normalize
+from veilframe.operators import catalog_more  # noqa: F401  registers more detectors
 from veilframe.operators.catalog import LOW, DetectorSpec, detectors
+from veilframe.operators.context import Triggers, near_any, scored
 
 SCHEMA = "text string, type string, start int, end int, raw_conf double, detector_id string, sensitive boolean, canonical string, validator string, metadata map<string,string>"
 FIELDS = [x.split(" ", 1)[0] for x in SCHEMA.split(", ")]
 
 
-def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]]) -> list[dict]:
-    """Candidates of one text; offsets are code points of the original text. A failing validator fails the job."""
+def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]], near: Callable[[int, int], bool] | None = None) -> list[dict]:
+    """Candidates of one text; offsets are code points of the original text. A failing validator fails the job.
+
+    Detectors that need context are capped to LOW unless near(start, end) finds some.
+    """
     folded, at = normalize(text)
     out = []
     for pattern, spec in active:
@@ -27,12 +32,15 @@ def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]]) -> list[d
             a, b = v.span or m.span()
             conf = min(1.0, max(0.0, spec.confidence if v.confidence is None else v.confidence))
             a, b = (a, b) if at is None else (at[a], at[b])
-            out.append({"text": text[a:b], "type": spec.entity_type, "start": a, "end": b, "raw_conf": min(conf, LOW) if spec.requires_context else conf, "detector_id": spec.id, "sensitive": v.sensitive, "canonical": v.canonical, "validator": v.validator, "metadata": v.metadata})
+            out.append({"text": text[a:b], "type": spec.entity_type, "start": a, "end": b, "raw_conf": min(conf, LOW) if spec.requires_context and not (near and near(a, b)) else conf, "detector_id": spec.id, "sensitive": v.sensitive, "canonical": v.canonical, "validator": v.validator, "metadata": v.metadata})
     return out
 
 
-def with_candidates(df: DataFrame, text: str = "text", region: str | None = None, types: set[str] | None = None, specs: list[DetectorSpec] | None = None) -> DataFrame:
-    """df with candidates, an array of structs, nested so that later steps need no shuffle; a null text has none."""
+def with_candidates(df: DataFrame, text: str = "text", region: str | None = None, types: set[str] | None = None, specs: list[DetectorSpec] | None = None, lexicon: dict | None = None) -> DataFrame:
+    """df with candidates, an array of structs, nested so that later steps need no shuffle; a null text has none.
+
+    With a lexicon, raw_conf is the confidence after the evidence around each candidate, and 0 for a suppressed one.
+    """
     chosen = specs if specs is not None else detectors(region, types)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -44,8 +52,13 @@ def with_candidates(df: DataFrame, text: str = "text", region: str | None = None
 
     def run(batches):
         active = [(re.compile(d.pattern, d.flags), d) for d in chosen]
+        triggers = Triggers(lexicon) if lexicon else None
+
+        def of(t: str) -> list[dict]:
+            return scored(t, scan(t, active, near_any(t, triggers)), triggers) if triggers else scan(t, active)
+
         for b in batches:
-            found = [[c | {"metadata": list(c["metadata"].items())} for c in scan(t, active)] if t else [] for t in b.column(place).to_pylist()]
+            found = [[c | {"metadata": list(c["metadata"].items())} for c in of(t)] if t else [] for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, type=arrow)], names=[*b.schema.names, "candidates"])
 
     return df.mapInArrow(run, schema)

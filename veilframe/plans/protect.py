@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.context import LEXICON
 from veilframe.operators.decide import band, lookup, points
 from veilframe.operators.detect import with_candidates
 from veilframe.operators.masking import leaks, masked, with_tokens
 from veilframe.operators.spans import resolved
 from veilframe.operators.taxonomy import PROFILES
 
-STAGES = ("normalize", "detect", "resolve", "decide", "mask", "expose")
+STAGES = ("normalize", "detect", "context", "resolve", "decide", "mask", "expose")
 
 
-def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] = "balanced", region: str | None = None, allow: list[str] = (), deny: list[str] = ()) -> DataFrame:
+def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] = "balanced", region: str | None = None, allow: list[str] = (), deny: list[str] = (), lexicon: dict | None = LEXICON) -> DataFrame:
     """df with entities, masked_text, tokens, leaked, exposure_score and exposure_band."""
     limits = PROFILES[profile] if isinstance(profile, str) else profile
     low_allow, low_deny = [x.lower() for x in allow], [x.lower() for x in deny]
@@ -24,8 +25,8 @@ def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] =
         wanted = c["raw_conf"] >= lookup(c["type"], limits, 2.0)
         return F.when(value.isin(low_deny), True).when(value.isin(low_allow), False).otherwise(wanted)
 
-    found = with_candidates(df, text, region=region)
-    sensitive = F.filter("candidates", lambda c: c["sensitive"])
+    found = with_candidates(df, text, region=region, lexicon=lexicon)
+    sensitive = F.filter("candidates", lambda c: c["sensitive"] & (c["raw_conf"] > 0))
     out = found.withColumn("entities", F.filter(resolved(sensitive), reported)).drop("candidates")
     out = out.withColumn("tokens", with_tokens(F.col("entities")))
     out = out.withColumn("masked_text", masked(F.coalesce(F.col(text), F.lit("")), F.col("tokens")))
