@@ -65,7 +65,7 @@ def test_context_scoring():
 
 
 def test_format():
-    assert [format_of(t) for t in ("", "a b", "| a |\n| b |", '{"a": 1}', "a: 1\nb: 2", "2024-01-01T10:00:00 x", "From: a\nTo: b", "int a;\nint b;")] == ["unknown", "prose", "markdown-table", "json", "yaml", "log", "email", "code"]
+    assert [format_of(t) for t in ("", "a b", "| a |\n| b |", '{"a": 1}', "a: 1\nb: 2", "2024-01-01T10:00:00 x", "From: a\nTo: b\nhello", "int a;\nint b;")] == ["unknown", "prose", "markdown-table", "json", "yaml", "log", "email", "code"]
 
 
 def test_slots_and_protect_with_context(spark):

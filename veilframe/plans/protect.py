@@ -10,13 +10,14 @@ from veilframe.operators.decide import band, lookup, points
 from veilframe.operators.detect import with_candidates
 from veilframe.operators.masking import leaks, masked, with_tokens
 from veilframe.operators.spans import resolved
+from veilframe.operators.surrogates import with_surrogates
 from veilframe.operators.taxonomy import PROFILES
 
 STAGES = ("normalize", "detect", "context", "resolve", "decide", "mask", "expose")
 
 
-def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] = "balanced", region: str | None = None, allow: list[str] = (), deny: list[str] = (), lexicon: dict | None = LEXICON) -> DataFrame:
-    """df with entities, masked_text, tokens, leaked, exposure_score and exposure_band."""
+def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] = "balanced", region: str | None = None, allow: list[str] = (), deny: list[str] = (), lexicon: dict | None = LEXICON, mode: str = "token", seed: int = 0) -> DataFrame:
+    """df with entities, masked_text, tokens, leaked, exposure_score and exposure_band; mode is token or surrogate."""
     limits = PROFILES[profile] if isinstance(profile, str) else profile
     low_allow, low_deny = [x.lower() for x in allow], [x.lower() for x in deny]
 
@@ -28,7 +29,7 @@ def protect(df: DataFrame, text: str = "text", profile: str | dict[str, float] =
     found = with_candidates(df, text, region=region, lexicon=lexicon)
     sensitive = F.filter("candidates", lambda c: c["sensitive"] & (c["raw_conf"] > 0))
     out = found.withColumn("entities", F.filter(resolved(sensitive), reported)).drop("candidates")
-    out = out.withColumn("tokens", with_tokens(F.col("entities")))
+    out = with_surrogates(out, text, seed=seed) if mode == "surrogate" else out.withColumn("tokens", with_tokens(F.col("entities")))
     out = out.withColumn("masked_text", masked(F.coalesce(F.col(text), F.lit("")), F.col("tokens")))
     total = F.aggregate(F.transform("entities", lambda e: points(e["type"], e["raw_conf"])), F.lit(0.0), lambda a, x: a + x)
     out = out.withColumn("exposure_score", F.round(100 * (1 - F.exp(-total / 100)), 4))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks, text
-from veilframe.operators import decide, detect, insights, spans
+from veilframe.operators import context, decide, detect, insights, spans
 from veilframe.plans.protect import protect
 from veilframe.sources.tables import table
 
@@ -134,6 +134,20 @@ def protect_documents(spark, sf_dir):
     return out.select("doc_id", "masked_text", F.size("entities").alias("n_entities"), F.size("leaked").alias("n_leaked"), "exposure_score", "exposure_band")
 
 
+@query()
+def protect_surrogates(spark, sf_dir):
+    """The whole pass with surrogates that pass the same checks; restoring gives the text back (tested)."""
+    out = protect(table(spark, sf_dir, "documents").select("doc_id", "text"), profile="strict", mode="surrogate")
+    return out.select("doc_id", "masked_text", F.size("tokens").alias("n_tokens"), F.size("leaked").alias("n_leaked"))
+
+
+@query()
+def structure_slots(spark, sf_dir):
+    """Key and value slots of all documents, counted by key and kind."""
+    out = context.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode("slots").alias("s"))
+    return out.groupBy("s.key", "s.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def candidates_all(spark, sf_dir):
     """Candidates of the whole catalogue over all documents, by type."""
