@@ -240,6 +240,29 @@ def test_bm25_equals_brute_force(docs, empty, spark):
     assert rows(bm25_search.search(empty, queries)) == []
 
 
+def test_bm25_searches_documents_in_blocks(spark, monkeypatch):
+    from veilframe.llm import queries
+
+    rng = random.Random(8)
+    data = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(300 if i % 40 == 0 else rng.randint(5, 60)))) for i in range(130)]
+    docs = spark.createDataFrame([*data, (None, "w1"), (200, None), (220, data[20][1])], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    monkeypatch.setattr(bm25_search, "QUERY_BLOCK", 3)
+    out = queries.queries()["op1_document_search"](spark, "")
+    data += [(200, ""), (220, data[20][1])]
+    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in rows(out))
+    tf = {i: Counter(bm25_search.words(t)) for i, t in data}
+    n, mean = len(data), sum(c.total() for c in tf.values()) / len(data)
+    df = Counter(t for c in tf.values() for t in c)
+    want, sizes = [], set()
+    for q in sorted(i for i in tf if i % 20 == 0):
+        sizes.add(len(tf[q]) > bm25_search.MOST_WAND)
+        scores = [(-round(math.fsum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t in sorted(tf[q]) if c[t]), 6), i) for i, c in tf.items()]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:10])]
+    assert sizes == {False, True} and {20, 220} <= {x[0] for x in got}
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 

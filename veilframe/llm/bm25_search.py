@@ -5,6 +5,9 @@ their scores and the largest score and last document of each block. Document cou
 are those of the whole table, counted in a pass before, so that scores of different shards compare and the merge of the
 shards' top k is the exact top k. Scores are rounded to DIGITS before they are ranked; ties go to the smaller id.
 
+WAND skips little when a query has hundreds of terms, as most documents hold some of them. Queries of more than MOST_WAND
+distinct words therefore sum the scores of all postings of their terms by document; no document is passed over.
+
 Terms are the distinct words of a text, split at white space, A-Z lowered. Queries are taken in blocks of QUERY_BLOCK, so
 what goes to the tasks is bounded. Defined cases: a query without words, or without a word of the table, has no rows;
 null ids and null texts of documents are left out or read as empty; repeated rows are repeated results; an empty table
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections import Counter
 
@@ -23,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import KERNEL_BYTES, cut
+from veilframe.llm.common import KERNEL_BYTES, cut, materialize
 
 K1, B, DIGITS, POSTING_BLOCK, QUERY_BLOCK = 1.2, 0.75, 6, 64, 1000
 SLACK = 10.0**-DIGITS
+#: Queries of more distinct words are summed over all postings instead of walked by WAND; both give the exact top k.
+MOST_WAND = 64
 
 
 def words(text: str | None) -> list[bytes]:
@@ -128,23 +134,32 @@ def top_k(lists: list[Postings], k: int) -> list[tuple[float, int]]:
     return sorted(((s, -d) for s, d in heap), key=lambda x: (-x[0], x[1]))
 
 
-def shard_index(ids: list, texts: list[str], idf: dict[bytes, float], mean: float) -> tuple[list, dict[bytes, Postings]]:
-    """The shard's ids in order and its postings of the terms in idf."""
+def top_k_of_sums(lists: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[float, int]]:
+    """The k best (score, document) of a shard from (documents, scores) of each term, summed by document in term order."""
+    sums = np.bincount(np.concatenate([d for d, _ in lists]), np.concatenate([s for _, s in lists]))
+    least = np.partition(sums, -k)[-k] - 2 * SLACK if len(sums) > k else 0.0
+    best = [(round(float(sums[d]), DIGITS), d) for d in np.flatnonzero((sums >= least) & (sums > 0)).tolist()]
+    return sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def shard_index(ids: list, texts: list[str], idf: dict[bytes, float], mean: float) -> tuple[list, dict[bytes, tuple[np.ndarray, np.ndarray]]]:
+    """The shard's ids in order and, for each term in idf, its documents in order with their scores."""
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    found: dict[bytes, tuple[list[int], list[int]]] = {}
-    lengths = np.zeros(len(ids))
+    number = {t: i for i, t in enumerate(idf)}
+    terms, times = array("q"), array("q")
+    lengths, kinds = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
     for d, i in enumerate(order):
         w = words(texts[i])
-        lengths[d] = len(w)
-        for t, n in Counter([x for x in w if x in idf]).items():
-            docs, times = found.setdefault(t, ([], []))
-            docs.append(d)
-            times.append(n)
-    index = {}
-    for t, (docs, times) in found.items():
-        d, tf = np.array(docs), np.array(times, dtype=float)
-        index[t] = Postings(d, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / mean)))
-    return [ids[i] for i in order], index
+        c = Counter([number[x] for x in w if x in number])
+        lengths[d], kinds[d] = len(w), len(c)
+        terms.extend(c)
+        times.extend(c.values())
+    t, d, tf = np.frombuffer(terms, dtype=np.int64), np.repeat(np.arange(len(ids)), kinds), np.frombuffer(times, dtype=np.int64).astype(float)
+    by = np.argsort(t, kind="stable")
+    t, d, tf = t[by], d[by], tf[by]
+    scores = np.array(list(idf.values()))[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[d] / mean)) if len(t) else tf
+    edges = np.searchsorted(t, np.arange(len(idf) + 1)).tolist()
+    return [ids[i] for i in order], {w: (d[a:b], scores[a:b]) for w, a, b in zip(idf, edges, edges[1:]) if b > a}
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -153,15 +168,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id"
     kind, query_kind = held.schema["__key"].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     out = None
     wanted = queries.where(F.col(query_key).isNotNull()).select(query_key, query_text).orderBy(query_key)
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
     block: list = []
     for r in [*wanted.toLocalIterator(), None]:
         if r is not None:
             block.append((r[0], sorted(set(words(r[1])))))
         if block and (r is None or len(block) == QUERY_BLOCK) or r is None and out is None:
             part = search_block(held, block, k, kind, query_kind)
+            if r is not None or out is not None:
+                # of several blocks, each is written, so that one plan holds the terms of one block only
+                part = materialize(ranked(part).drop("rank"), "bm25-block")
             out, block = part if out is None else out.unionByName(part), []
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked(out)
 
 
 def search_block(held: DataFrame, block: list, k: int, kind: str, query_kind: str) -> DataFrame:
@@ -173,10 +191,18 @@ def search_block(held: DataFrame, block: list, k: int, kind: str, query_kind: st
         for whole in batches:
             for b in cut(whole, "__text", 2 * KERNEL_BYTES):
                 ids, index = shard_index(b.column(0).to_pylist(), b.column(1).to_pylist(), idf, mean)
-                rows = []
+                rows, walked = [], {}
                 for q, ts in block:
-                    if lists := [index[t] for t in ts if t in index]:
-                        rows += [(q, ids[d], s) for s, d in top_k(lists, k)]
+                    if not (held_terms := [t for t in ts if t in index]):
+                        continue
+                    if len(ts) > MOST_WAND:
+                        found = top_k_of_sums([index[t] for t in held_terms], k)
+                    else:
+                        for t in held_terms:
+                            if t not in walked:
+                                walked[t] = Postings(*index[t])
+                        found = top_k([walked[t] for t in held_terms], k)
+                    rows += [(q, ids[d], s) for s, d in found]
                 cols = list(zip(*rows)) if rows else [(), (), ()]
                 yield pa.RecordBatch.from_pydict({"query_id": cols[0], "doc_id": cols[1], "score": cols[2]}, schema=arrow)
 
