@@ -221,6 +221,23 @@ def test_url_filter(spark):
     assert rows(url_filter.url_filter(df.limit(0), URL_RULES)) == []
 
 
+@pytest.mark.parametrize("most", [7, 150_000])
+def test_url_filter_keeps_all_counts(spark, monkeypatch, most):
+    # the name of the former cap on counts and that of the present one on windows sent to the tasks
+    for name in ("MOST_GRAMS", "MOST_WINDOWS"):
+        monkeypatch.setattr(url_filter, name, most, raising=False)
+    rng = random.Random(9)
+    urls = [f"http://{rng.choice(['a.org', 'b.com', 'ünï.net'])}/{rng.choice(['fr', 'de', 'xx'])}/{''.join(rng.choice('abcé1') for _ in range(rng.randint(0, 9)))}" for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate([*urls, urls[0], None, ""])), "page_id long, url string").repartition(3)
+    ruled = url_filter.ruled(df, URL_RULES, ["page_id"]).withColumn("name", F.concat("host", "path")).withColumn("fold", F.pmod(F.xxhash64("name"), F.lit(4)))
+    data = {r["page_id"]: r for r in ruled.collect()}
+    model = {v: url_filter.CharModel(dict(url_filter.count_grams([r["name"] for r in data.values() if r["ruled"] == v and r["fold"]]))) for v in ("allow", "block")}
+    got = rows(url_filter.url_filter(df, URL_RULES))
+    assert len(got) == len(data) and all(x.n for x in model.values())
+    for r in got:
+        assert math.isclose(r["difference"], url_filter.difference(model["allow"], model["block"], data[r["page_id"]]["name"]), abs_tol=1e-9)
+
+
 def test_bm25_equals_brute_force(docs, empty, spark):
     queries = spark.createDataFrame([(0, "the of zu x1"), (1, corpus()[4][1]), (2, None), (3, "absent")], "item_id long, text string")
     got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in rows(bm25_search.search(docs, queries, k=5)))

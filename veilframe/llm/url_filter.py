@@ -4,6 +4,10 @@ Smoothed variable-order Markov models (Witten-Bell interpolation of all orders u
 that an allow rule or a block rule decides. A URL without a rule gets the difference of the two log-likelihoods per
 character; the threshold is calibrated on a quarter of the decided URLs that the models do not count.
 
+All counts are kept. A character's difference depends on its window of ORDER + 1 characters alone, so the differences of
+the distinct windows are made by joins with the count table, order by order. Those of the MOST_WINDOWS most frequent
+windows go to the tasks; all others are joined with the URLs that hold them.
+
 Defined cases: a null url, or one without "://", has empty host and path and no rule; an empty string scores 0; with no
 decided URLs of one verdict the models are empty, every difference is 0 and the threshold 0 allows; repeated rows count
 as often as they occur; an empty table gives an empty result; other columns are ignored.
@@ -13,16 +17,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import count
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import map_text
+from veilframe.llm.common import map_text, materialize
 
 ORDER = 4
-#: At most so many (context, character) counts, the most frequent ones, make up a model.
-MOST_GRAMS = 150_000
+#: The differences of so many windows go to the tasks; URLs with other windows are joined with theirs.
+MOST_WINDOWS = 150_000
+#: Differences are summed as whole numbers of 2**-40 bits, so that sums do not depend on order.
+UNIT = 2.0**40
 #: Calibration bins of the per-character difference, between -RANGE and RANGE.
 BINS, RANGE = 400, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,28 +111,94 @@ def difference(allow: CharModel, block: CharModel, text: str) -> float:
     return (allow.log2(text) - block.log2(text)) / len(text) if text else 0.0
 
 
-def scored(df: DataFrame, keys: list[str], models: dict[str, dict[str, int]]) -> DataFrame:
-    def factory():
-        allow, block = CharModel(models["allow"]), CharModel(models["block"])
-        return lambda names: {"difference": [difference(allow, block, x) for x in names]}
+def windows(names: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, c): the windows of order + 1 characters of all names."""
+
+    def run(batches):
+        for b in batches:
+            c: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                padded = START * order + t
+                c.update(padded[i : i + order + 1] for i in range(len(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["gram", "c"])
+
+    return names.mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def window_differences(counts: DataFrame, found: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, c, units) of all windows found: log2 p(allow) - log2 p(block) of the last character, as CharModel has it."""
+    labels = ("allow", "block")
+    wanted = [found.select("gram")]
+    for _ in range(order):
+        wanted.insert(0, wanted[0].select(F.expr("substring(gram, 2)").alias("gram")).distinct())
+    lower = None
+    for k, need in enumerate(wanted):
+        n = counts.where(F.length("gram") == k + 1).groupBy("gram").agg(*[F.sum(F.when(F.col("label") == x, F.col("n"))).alias(f"n_{x}") for x in labels])
+        ctx = n.groupBy(F.substring("gram", 1, k).alias("ctx")).agg(*[f(f"n_{x}").alias(f"{name}_{x}") for x in labels for f, name in ((F.sum, "t"), (F.count, "d"))])
+        out = need.join(n, "gram", "left").withColumn("ctx", F.substring("gram", 1, k)).join(ctx, "ctx", "left")
+        if lower is not None:
+            out = out.withColumn("shorter", F.expr("substring(gram, 2)")).join(lower, "shorter")
+        p = []
+        for x in labels:
+            below = F.lit(1 / 256) if lower is None else F.col(f"p_{x}")
+            t, d = F.col(f"t_{x}"), F.col(f"d_{x}")
+            p.append(F.when(t.isNull(), below).otherwise((F.coalesce(f"n_{x}", F.lit(0)) + d * below) / (t + d)).alias(f"p_{x}"))
+        out = out.select("gram", *p)
+        lower = out.withColumnRenamed("gram", "shorter")
+    units = F.round((F.log2("p_allow") - F.log2("p_block")) * UNIT).cast("long")
+    return found.join(out.select("gram", units.alias("units")), "gram")
+
+
+def scored(df: DataFrame, keys: list[str], table: DataFrame, order: int = ORDER) -> DataFrame:
+    """keys and difference, one row per row of df; table has every window of df."""
+    known = {r["gram"]: r["units"] for r in table.orderBy(F.desc("c"), "gram").limit(MOST_WINDOWS).select("gram", "units").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
-    return map_text(df.withColumn("__name", F.concat("host", "path")), factory, "difference double", keys, "__name")
+    def factory():
+        held, part, row = shared.value, TaskContext.get().partitionId(), count()
+
+        def kernel(names):
+            out = {"uid": [part << 40 | next(row) for _ in names], "units": [], "length": list(map(len, names)), "rest": []}
+            for t in names:
+                padded, total, rest = START * order + t, 0, []
+                for i in range(len(t)):
+                    w = padded[i : i + order + 1]
+                    x = held.get(w)
+                    if x is None:
+                        rest.append(w)
+                    else:
+                        total += x
+                out["units"].append(total)
+                out["rest"].append(rest)
+            return out
+
+        return kernel
+
+    out = map_text(df.withColumn("__name", F.concat("host", "path")), factory, "uid long, units long, length int, rest array<string>", keys, "__name")
+    units = F.col("units")
+    if len(known) == MOST_WINDOWS:
+        out = materialize(out, "url-rows")
+        rest = out.select("uid", F.explode("rest").alias("gram")).join(table.select("gram", F.col("units").alias("more")), "gram")
+        out = out.drop("rest").join(rest.groupBy("uid").agg(F.sum("more").alias("more")), "uid", "left")
+        units = units + F.coalesce("more", F.lit(0))
+    return out.select(*keys, F.when(F.col("length") > 0, units / UNIT / F.col("length")).otherwise(0.0).alias("difference"))
 
 
 def url_filter(df: DataFrame, rules: list[tuple[str, str]], keys: list[str] | None = None, url: str = "url") -> DataFrame:
     """keys, host, path, rule, verdict and difference, one row per row of df."""
     keys = keys or ["page_id"]
     rows = ruled(df, rules, keys, url)
-    decided = rows.where(F.col("ruled").isNotNull()).select(F.col("ruled").alias("label"), F.concat("host", "path").alias("name"), "host", "path")
+    decided = rows.where(F.col("ruled").isNotNull()).select(F.col("ruled").alias("label"), F.concat("host", "path").alias("name"))
     fold = F.pmod(F.xxhash64("name"), F.lit(4))
-    counts = grams(decided.where(fold != 0).select("label", "name"))
-    models: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for label in models:
-        models[label] = {r["gram"]: r["n"] for r in counts.where(F.col("label") == label).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).select("gram", "n").collect()}
-    if not models["allow"] or not models["block"]:
-        models = {"allow": {}, "block": {}}
-    threshold = calibrate(scored(decided.where(fold == 0), ["label"], models))
-    out = scored(rows, [*keys, "host", "path", "rule", "ruled"], models)
+    counts = materialize(grams(decided.where(fold != 0).select("label", "name")), "url-grams")
+    kept = [*keys, "host", "path", "rule", "ruled"]
+    if counts.select("label").distinct().count() < 2:
+        out = rows.select(*kept, F.lit(0.0).alias("difference"))
+    else:
+        table = materialize(window_differences(counts, windows(rows.select(F.concat("host", "path")))), "url-windows")
+        out = scored(rows, kept, table)
+    judged = out.withColumn("name", F.concat("host", "path")).where(F.col("ruled").isNotNull() & (fold == 0))
+    threshold = calibrate(judged.select(F.col("ruled").alias("label"), "difference"))
     verdict = F.coalesce("ruled", F.when(F.col("difference") >= threshold, "allow").otherwise("block"))
     return out.select(*keys, "host", "path", "rule", verdict.alias("verdict"), "difference")
 
