@@ -181,6 +181,19 @@ def test_secret_scan(docs, empty):
     assert rows(secret_scan.redact(docs.where("text is null")))[0]["text"] is None and rows(secret_scan.secret_scan(empty)) == []
 
 
+def test_secret_scan_judges_values_that_begin_with_brackets(spark):
+    secrets = ["$2b$12$KIXQ4a9vLm0TzR8pWc3eUe", "$ecr3tX9!kQ", "(Xk9#mQ2$v", "[vT7#qLw!92x", "{p4Zx!w8Qm#1", "${DB_PASS}x9Q!kf7", "[SECRET]x9Q!kf7Z"]
+    for value in secrets:
+        text = f"pwd: {value} end"
+        assert [text[s:e] for s, k, e in secret_scan.scan(text) if k == 3] == [value]
+    for value in ("${DB_PASSWORD}", "${DB2_PASSWORD}", "{{db_password}}", "[PERSON_12]", "<your-password>", "[DB_PASSWORD]", "[SECRET]", "[SECRET]."):
+        assert secret_scan.scan(f"pwd: {value} end") == []
+    df = spark.createDataFrame([(i, f"pwd: {v} end") for i, v in enumerate(secrets)], "doc_id long, text string")
+    for mask in ("[SECRET]", "[#1x9Q!kf7]"):
+        masked = secret_scan.redact(df, mask=mask)
+        assert {r["text"] for r in rows(masked)} == {f"pwd: {mask} end"} == {r["text"] for r in rows(secret_scan.redact(masked, mask=mask))}
+
+
 def test_toxicity_learns_held_out(spark, empty):
     rng = random.Random(4)
     data = []

@@ -2,7 +2,8 @@
 
 A value that stands after a credential word is split, at minimum cost, into dictionary words (also leet-spelled),
 dates, repeats, keyboard walks and brute-force spans. With l segments the cost is l! * product + 10000^(l-1) guesses.
-A value that takes MIN_LOG10_GUESSES or more is a secret.
+A value that takes MIN_LOG10_GUESSES or more is a secret. Only closed placeholders (${NAME}, {{name}}, <name>, [NAME]) and
+the exact mask of redact() are left out; a value that merely begins with a bracket or $ is judged like any other.
 
 Defined cases: a null or empty text has no spans; very long texts and values are read whole (a prefix never costs more
 than the value, so the programming stops early once a prefix is dear enough); repeated rows are judged row by row; an
@@ -28,6 +29,8 @@ HEX_BYTES = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256
 #: Words that open a credential context, beyond those of the base rule.
 CONTEXT_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "passphrase", "passcode", "pwd", "credential", "bearer", "private_key", "access_key", "auth_key")
 CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|passphrase|passcode|pwd|credentials?|bearer|private_key|access_key|auth_key)["']?(?:\x20*(?::=|=>|->|[:=])\x20*|\x20+(?:is\x20+)?(?=[^\s"'<>,;]*[0-9]))["']?([^\s"'<>,;]{8,})""", re.A | re.I)
+#: A whole value that names a variable, as templates and redact() leave it; punctuation of the sentence may follow.
+PLACEHOLDER = re.compile(r"""(?:\$\{[A-Za-z_][\w.-]*\}|\{\{[A-Za-z_][\w.-]*\}\}|<[A-Za-z_][A-Za-z_.-]*[0-9]{0,3}>|\[[A-Za-z_][A-Za-z_.-]*[0-9]{0,3}\])[.:!?)]*""", re.A)
 MIN_LOG10_GUESSES = 8.0
 
 # Frequent passwords and password words, most frequent first.
@@ -109,8 +112,8 @@ def is_hard(value: str, least: float = MIN_LOG10_GUESSES) -> bool:
     return log10_guesses(value) >= least
 
 
-def scan(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
-    """(start, kind index, end) of all spans of a text, sorted."""
+def scan(text: str, least: float = MIN_LOG10_GUESSES, mask: str = "[SECRET]") -> list[tuple[int, int, int]]:
+    """(start, kind index, end) of all spans of a text, sorted; a guess value that is mask is none."""
     found, low = [], text.lower()
     hinted = any(w in low for w in CONTEXT_WORDS)
     if hinted:
@@ -123,8 +126,8 @@ def scan(text: str, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, in
         base = list(found)
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            # a bracketed value is a placeholder or a variable, as redact() leaves
-            if text[a] not in "[{(<$" and not any(s <= a and b <= e for s, _, e in base) and is_hard(text[a:b], least):
+            left_alone = PLACEHOLDER.fullmatch(text, a, b) or mask and text.startswith(mask, a) and not text[a + len(mask) : b].strip(".:!?)")
+            if not left_alone and not any(s <= a and b <= e for s, _, e in base) and is_hard(text[a:b], least):
                 found.append((a, 3, b))
     return sorted(found)
 
@@ -143,7 +146,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", least: flo
 
     def masked(value: str) -> str:
         out, at = [], 0
-        for s, _, e in scan(value, least):
+        for s, _, e in scan(value, least, mask):
             if s >= at:
                 out += [value[at:s], mask]
             at = max(at, e)
