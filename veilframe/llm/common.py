@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,45 +15,56 @@ from pyspark.sql import functions as F
 
 #: Arrow batches are cut so that one kernel call sees at most this many bytes of text (one text always fits).
 KERNEL_BYTES = 16 << 20
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables of this session in the shared folder.
 WRITTEN: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a folder. With spread, one of fewer file splits than cores is dealt to all cores; rows stay the same."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the session's cluster shares, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that the session's cluster shares, from spark.checkpoint.dir.
+
+    Where it is unset, a local session (tests) gets a temporary folder. On a cluster such a folder is on one machine only,
+    so it is refused there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if found:
+        return found
+    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jvm_dir.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="veilframe-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    return jvm_dir.get()
 
 
 def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables; called for each when the driver's Python ends, or before, once nothing reads it."""
+    if spark.sparkContext._jsc is None:
+        return  # the session has ended; the cluster's own clean-up remains
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside let go of their shuffle files when they end: their result is written, nothing reads them again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
-        for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended; the cluster's own clean-up remains
-        pass
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to; else they stay until the driver next collects garbage.
-
-    Twice, as the first collection only frees what the second one can find unreferenced.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +79,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not WRITTEN:
         atexit.register(drop_scratch, spark, WRITTEN)
     WRITTEN.append(path)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

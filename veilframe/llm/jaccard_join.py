@@ -16,9 +16,13 @@ exact and its steps are:
 5. Sets that are connected by then need no more checks. Around each centre, the sets outside its largest component
    probe blocks of all sets around it, walking past subtrees of their own component. Probes are cut into chunks as
    members are into blocks, so one task's unit of work is bounded whatever the group's size. Only links leave a task,
-   never all pairs of a group, and no link between different components is lost.
+   never all pairs of a group, and no link between different components is lost. A common token is in a prefix only of
+   sets that have few rarer tokens, four fifths of which are then common passages; such sets mostly link with the centre.
 
-Defined cases: an empty or null text has an empty set and links with nothing; under five words, the whole sequence is one
+Nothing is broadcast: every join is a shuffle on its key, at every size. Each step's result is written, and its shuffle
+files are removed then. In step 2, a token has as many rows as there are chunks of texts that hold it, about 30 MB each.
+
+Defined cases: keys may be of any type that has an order; an empty or null text has an empty set and links with nothing; under five words, the whole sequence is one
 item; very long texts are read whole; repeated rows are of one class; a row with a null id links with nothing and has a
 null component; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,8 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from veilframe.llm.common import KERNEL_BYTES, cut, map_text, materialize, release
+from veilframe.llm.common import KERNEL_BYTES, cut, map_text, materialize
 from veilframe.llm.components import components
 
 WORDS = 5
@@ -42,8 +48,6 @@ PERCENT = 80
 EXTRA = 0.05
 #: Partners in a prefix tree, and probes that walk it in one unit of work, about.
 BLOCK = 128
-#: Rows of a few numbers each that are broadcast at most, about 16 MB.
-MOST_BROADCAST = 400_000
 #: Tokens of a run that a walk counts before it looks at the bound again.
 STEP = 48
 
@@ -208,9 +212,9 @@ def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
     time and the chunk's probes stream past it.
     """
     rows = materialize(members.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))), "join-blocks")
-    # few rows go to the sets, by a checked size; else both sides are shuffled on the id
-    rows = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
     unit = ["group", "block", "chunk"]
+    kind = rows.schema["id"].dataType
+    arrow = to_arrow_type(kind)
     rows = rows.join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select(*unit, "role", "id", "component", "tokens")
 
     def run(batches):
@@ -229,9 +233,9 @@ def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
                     for v, _ in {x: (v, x) for v, x in tree.walk(s, c)}.values():
                         us.append(i)
                         vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, arrow), pa.array(vs, arrow)], names=["u", "v"])
 
-    return rows.repartition(*unit).sortWithinPartitions(*unit, "role").mapInArrow(run, "u long, v long")
+    return rows.repartition(*unit).sortWithinPartitions(*unit, "role").mapInArrow(run, StructType([StructField("u", kind), StructField("v", kind)]))
 
 
 def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,12 +270,9 @@ def cross_links(around: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id, one row per row of df."""
     rows = materialize(digests(df, key, text), "join-digests")
-    chosen = short_list(rows.where(F.col("__key").isNotNull()))
+    chosen = materialize(short_list(rows.where(F.col("__key").isNotNull())), "join-chosen")
     sets = materialize(sets_of(df, chosen, key, text), "join-sets")
-    del chosen
-    release(df.sparkSession)
     posted = materialize(postings(sets), "join-postings")
-    release(df.sparkSession)
     centre = posted.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("sh")).alias("own"), "rid", "n", "sh")).alias("c"))
     # a set is around the centre of each of its prefix tokens; two sets with a common prefix token have a common centre
     around = posted.join(centre, "token").groupBy(F.col("c.rid").alias("group"), F.col("rid").alias("id")).agg(F.first(feasible(F.col("n"), F.col("sh"), F.col("c.n"), F.col("c.sh"))).alias("may_link"))
@@ -286,9 +287,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     final = components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).where("u <> v").unionByName(more), "components-final")
     classes = rows.where(F.col("__key").isNotNull() & (F.col("n") > 0)).groupBy("fp").agg(F.min("__key").alias("rid"))
     classes = classes.join(final.withColumnRenamed("id", "rid"), "rid", "left").select("fp", F.coalesce("component", "rid").alias("component_id"))
-    out = rows.select("__key", "n", "fp").join(classes, "fp", "left")
-    found = F.when(F.col("__key").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("__key")).otherwise(F.col("component_id"))
-    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    # empty sets stay out of the join: they may be very many, all with one fingerprint
+    is_empty = F.col("n") == 0
+    whole = rows.where(~is_empty).select("__key", "n", "fp").join(classes, "fp", "left").select("__key", "n", F.when(F.col("__key").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = whole.unionByName(rows.where(is_empty).select("__key", "n", F.col("__key").alias("component_id")))
+    return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 #: The same rows by brute force, for DuckDB; quadratic in the size of groups, so for small tables.

@@ -16,17 +16,17 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage whose id is divisible by 20, searched in all documents."""
-    return bm25_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"))
+    return bm25_search.search(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark").where("item_id % 20 = 0"))
 
 
 def op1_document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document whose id is divisible by 20, its whole text searched in all documents; op1_bm25_search keeps the queries of its SQL."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return bm25_search.search(docs, docs.where("doc_id % 20 = 0"), query_key="doc_id")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents", spread=True)))
 
 
 def predicted(scores: DataFrame, modulus: int, remainder: int, threshold: float) -> DataFrame:
@@ -34,39 +34,39 @@ def predicted(scores: DataFrame, modulus: int, remainder: int, threshold: float)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 4, 2))
     return predicted(toxicity.toxicity(docs, model), 4, 2, toxicity.THRESHOLD)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents", spread=True))
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.lm_scores(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+    return language_model.lm_scores(table(spark, sf_dir, "documents", spread=True), held_out(F.col("doc_id"), 7, 2))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id"), 5, 0))
     return predicted(quality_model.quality_scores(docs, model), 5, 0, quality_model.THRESHOLD)
 
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_encoding.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_encoding.digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.url_filter(table(spark, sf_dir, "pages", spread=True), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents", spread=True)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
