@@ -8,7 +8,9 @@ All counts are kept. A character's difference depends on its window of ORDER + 1
 the distinct windows are made by joins with the count table, order by order. Those of the MOST_WINDOWS most frequent
 windows go to the tasks; all others are joined with the URLs that hold them.
 
-Defined cases: a null url, or one without "://", has empty host and path and no rule; an empty string scores 0; with no
+Defined cases: a null url, or one without "://", has empty host and path and no rule; an empty string scores 0; very long
+urls are read whole; of rules of one length that fit, the first by name decides; of thresholds that part the calibration
+urls equally well, the one nearest 0 is taken; with no
 decided URLs of one verdict the models are empty, every difference is 0 and the threshold 0 allows; repeated rows count
 as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
@@ -149,9 +151,22 @@ def window_differences(counts: DataFrame, found: DataFrame, order: int = ORDER)
     return found.join(out.select("gram", units.alias("units")), "gram")
 
 
+def frequent_windows(table: DataFrame, most: int = MOST_WINDOWS) -> dict[str, int]:
+    """The units of at most `most` frequent windows; a histogram of counts tells the least count, so tasks send no more."""
+    by_step = table.groupBy(F.floor(F.log2("c") * 16).alias("step")).count().collect()  # at most about 1000 rows
+    left, least = most, 0
+    for r in sorted(by_step, key=lambda r: -r["step"]):
+        left -= r["count"]
+        if left < 0:
+            least = r["step"] + 1
+            break
+    got = table.where(F.floor(F.log2("c") * 16) >= least).select("gram", "units").toArrow()
+    return dict(zip(got["gram"].to_pylist(), got["units"].to_pylist()))
+
+
 def scored(df: DataFrame, keys: list[str], table: DataFrame, order: int = ORDER) -> DataFrame:
     """keys and difference, one row per row of df; table has every window of df."""
-    known = {r["gram"]: r["units"] for r in table.orderBy(F.desc("c"), "gram").limit(MOST_WINDOWS).select("gram", "units").collect()}
+    known = frequent_windows(table)
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def factory():
@@ -176,7 +191,7 @@ def scored(df: DataFrame, keys: list[str], table: DataFrame, order: int = ORDER)
 
     out = map_text(df.withColumn("__name", F.concat("host", "path")), factory, "uid long, units long, length int, rest array<string>", keys, "__name")
     units = F.col("units")
-    if len(known) == MOST_WINDOWS:
+    if table.count() > len(known):
         out = materialize(out, "url-rows")
         rest = out.select("uid", F.explode("rest").alias("gram")).join(table.select("gram", F.col("units").alias("more")), "gram")
         out = out.drop("rest").join(rest.groupBy("uid").agg(F.sum("more").alias("more")), "uid", "left")
