@@ -71,8 +71,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back.
 
     The written table survives lost executors; a later stage recomputes from it, not from the corpus. Tables are deleted
-    when the driver's Python ends.
+    when the driver's Python ends, or by dropping().
     """
+    return written(df, name)[0]
+
+
+@contextmanager
+def dropping(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """As materialize; the table is deleted at the end of the with block, so nothing lazy may read it after that."""
+    out, path = written(df, name)
+    yield out
+    WRITTEN.remove(path)
+    drop_scratch(df.sparkSession, [path])
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -81,7 +94,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     WRITTEN.append(path)
     with shuffles_removed(spark):
         df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

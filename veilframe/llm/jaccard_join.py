@@ -19,8 +19,8 @@ exact and its steps are:
    never all pairs of a group, and no link between different components is lost. A common token is in a prefix only of
    sets that have few rarer tokens, four fifths of which are then common passages; such sets mostly link with the centre.
 
-Nothing is broadcast: every join is a shuffle on its key, at every size. Each step's result is written, and its shuffle
-files are removed then. In step 2, a token has as many rows as there are chunks of texts that hold it, about 30 MB each.
+The joins of rows, tokens and sets are merge joins at every size, so that small tables take the way that large ones take.
+Each step's result is written, its shuffle files are removed then, and tables that nothing reads any more are deleted. In step 2, a token has as many rows as there are chunks of texts that hold it, about 30 MB each.
 
 Defined cases: keys may be of any type that has an order; an empty or null text has an empty set and links with nothing; under five words, the whole sequence is one
 item; very long texts are read whole; repeated rows are of one class; a row with a null id links with nothing and has a
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from veilframe.llm.common import KERNEL_BYTES, cut, map_text, materialize
+from veilframe.llm.common import KERNEL_BYTES, cut, dropping, map_text, materialize
 from veilframe.llm.components import components
 
 WORDS = 5
@@ -125,12 +125,12 @@ def short_list(rows: DataFrame) -> DataFrame:
     wide = held.withColumns({"lo": F.min("f").over(by), "hi": F.max("f").over(by)}).where("lo <> hi and not settled").groupBy("f").agg(F.count(F.lit(1)).alias("far"))
     local = rows.where("near > 0 or n > 0").groupBy("fp").agg(F.max("near").alias("near"), F.first("n").alias("n"), F.min("__key").alias("rid")).withColumn("f", F.xxhash64("fp"))
     least = 1 + F.floor(F.col("n") * (EXTRA * PERCENT / 100) - 1e-9)
-    return local.join(wide, "f", "left").where(F.col("near") + F.coalesce("far", F.lit(0)) >= F.greatest(least, F.lit(1))).select("rid", "fp")
+    return local.join(wide.hint("merge"), "f", "left").where(F.col("near") + F.coalesce("far", F.lit(0)) >= F.greatest(least, F.lit(1))).select("rid", "fp")
 
 
 def sets_of(df: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
     """(rid, n, tokens) of the chosen classes, from the text of their smallest id."""
-    rows = df.select(F.col(key).alias("rid"), F.col(text).alias("__text")).where(F.col("rid").isNotNull()).join(chosen, "rid")
+    rows = df.select(F.col(key).alias("rid"), F.col(text).alias("__text")).where(F.col("rid").isNotNull()).join(chosen.hint("merge"), "rid")
 
     def factory():
         def kernel(texts):
@@ -147,7 +147,7 @@ def postings(sets: DataFrame) -> DataFrame:
     """Step 3: (token, rid, n, sh) for the prefix tokens in rare-first order; sh: tokens that other sets have too."""
     rows = sets.select("rid", "n", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(counts, "token").groupBy("rid", "n").agg(F.collect_list(F.struct("df", "token")).alias("of"))
+    shared = rows.join(counts.hint("merge"), "token").groupBy("rid", "n").agg(F.collect_list(F.struct("df", "token")).alias("of"))
     sh = F.size("of").cast("long")
     spare = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - sh)
     return shared.withColumns({"sh": sh, "spare": spare.cast("int")}).where("spare > 0").select(F.explode(F.slice(F.sort_array("of"), F.lit(1), F.col("spare"))["token"]).alias("token"), "rid", "n", "sh")
@@ -215,7 +215,7 @@ def probed(members: DataFrame, probes: DataFrame, sets: DataFrame) -> DataFrame:
     unit = ["group", "block", "chunk"]
     kind = rows.schema["id"].dataType
     arrow = to_arrow_type(kind)
-    rows = rows.join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select(*unit, "role", "id", "component", "tokens")
+    rows = rows.hint("merge").join(sets.select(F.col("rid").alias("id"), "tokens"), "id").select(*unit, "role", "id", "component", "tokens")
 
     def run(batches):
         group, held, tree = None, [], None
@@ -269,13 +269,14 @@ def cross_links(around: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id, one row per row of df."""
-    rows = materialize(digests(df, key, text), "join-digests")
-    chosen = materialize(short_list(rows.where(F.col("__key").isNotNull())), "join-chosen")
+    with dropping(digests(df, key, text), "join-digests") as made:
+        chosen = materialize(short_list(made.where(F.col("__key").isNotNull())), "join-chosen")
+        rows = materialize(made.select("__key", "n", "fp"), "join-rows")
     sets = materialize(sets_of(df, chosen, key, text), "join-sets")
     posted = materialize(postings(sets), "join-postings")
     centre = posted.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("sh")).alias("own"), "rid", "n", "sh")).alias("c"))
     # a set is around the centre of each of its prefix tokens; two sets with a common prefix token have a common centre
-    around = posted.join(centre, "token").groupBy(F.col("c.rid").alias("group"), F.col("rid").alias("id")).agg(F.first(feasible(F.col("n"), F.col("sh"), F.col("c.n"), F.col("c.sh"))).alias("may_link"))
+    around = posted.join(centre.hint("merge"), "token").groupBy(F.col("c.rid").alias("group"), F.col("rid").alias("id")).agg(F.first(feasible(F.col("n"), F.col("sh"), F.col("c.n"), F.col("c.sh"))).alias("may_link"))
     around = materialize(around, "join-around")
     stars = around.where((F.col("group") != F.col("id")) & F.col("may_link")).select(F.col("group").alias("a"), F.col("id").alias("b"))
     joined = components(materialize(star_links(stars, sets), "join-links"))
@@ -289,7 +290,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     classes = classes.join(final.withColumnRenamed("id", "rid"), "rid", "left").select("fp", F.coalesce("component", "rid").alias("component_id"))
     # empty sets stay out of the join: they may be very many, all with one fingerprint
     is_empty = F.col("n") == 0
-    whole = rows.where(~is_empty).select("__key", "n", "fp").join(classes, "fp", "left").select("__key", "n", F.when(F.col("__key").isNotNull(), F.col("component_id")).alias("component_id"))
+    whole = rows.where(~is_empty).select("__key", "n", "fp").join(classes.hint("merge"), "fp", "left").select("__key", "n", F.when(F.col("__key").isNotNull(), F.col("component_id")).alias("component_id"))
     out = whole.unionByName(rows.where(is_empty).select("__key", "n", F.col("__key").alias("component_id")))
     return out.select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
