@@ -44,14 +44,14 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) ->
 
 
 #: Numbers of a parameter vector in one row of the averaging.
-PIECE = 1 << 16
+PIECE = 1 << 13
 
 
 def averaged_round(df: DataFrame, start: np.ndarray, fit: Callable[[np.ndarray, Iterable[pa.RecordBatch]], tuple[np.ndarray, int]]) -> np.ndarray:
     """One round of training over all rows of df: each task fits the start vector to its rows, the results are averaged.
 
     fit(vector, batches) returns a task's vector and the examples that it took, by which it weighs. A task sends one
-    vector, cut in pieces; a piece's sum is made by one task, row by row, so only one vector reaches the driver.
+    vector, cut in small pieces; a piece's sum is made by one task, row by row, so only one vector reaches the driver.
     """
     shared = df.sparkSession.sparkContext.broadcast(start.astype(np.float32))
     pieces = range(0, len(start), PIECE)
@@ -71,7 +71,7 @@ def averaged_round(df: DataFrame, start: np.ndarray, fit: Callable[[np.ndarray,
         for k in total:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(total[k] / weight[k]).astype("<f4").tobytes()], pa.binary())], names=["piece", "part"])
 
-    sent = df.mapInArrow(local, "piece int, n long, part binary").repartition(len(pieces), "piece")
+    sent = df.mapInArrow(local, "piece int, n long, part binary").repartition("piece")
     got = {r["piece"]: np.frombuffer(bytes(r["part"]), dtype="<f4") for r in sent.mapInArrow(summed, "piece int, part binary").collect()}
     shared.unpersist()
     return np.concatenate([got[k] for k in range(len(pieces))]) if got else start
