@@ -10,8 +10,9 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from veilframe.functions.text import fold_for_match
 
@@ -37,7 +38,7 @@ LEXICON = {
     "VIN": "vin, chassis, fahrgestellnummer",
     "US_NPI": "npi, provider",
 }
-CONTACTS = {"EMAIL", "PHONE", "STREET_ADDRESS", "POSTAL_CODE", "PERSON"}
+CONTACTS = {"EMAIL", "PHONE", "STREET_ADDRESS", "POSTAL_CODE", "PERSON", "LOCATION", "DATE_OF_BIRTH", "NATIONAL_ID"}
 CONTACT_GAP, WINDOW, CLOSE = 240, 64, 16
 NAMED, ASSIGNED, TRIGGER_CLOSE, TRIGGER_FAR, CONTACT_RECORD, REPEATED = 0.35, 0.05, 0.25, 0.10, 0.10, -0.20
 # What a document's format adds to types.
@@ -49,18 +50,6 @@ FORMAT_DELTAS = {
     "email": {"PERSON": 0.05, "PHONE": 0.05},
 }
 
-SLOTS = {
-    "json": re.compile(r"""(?P<q>["'`])(?P<key>[^"'`\\]{1,48})(?P=q)\s*:\s*(?P<value>"[^"]*"|'[^']*'|[^,}\]\n]+)"""),
-    "env": re.compile(r"""^\s*(?:export\s+)?(?P<key>[A-Za-z_][A-Za-z0-9_.]{0,47})\s*=(?!=)\s*(?P<value>\S.*)$"""),
-    "assignment": re.compile(r"""\b(?:const|let|var|val|my|final|String)\s+(?P<key>[A-Za-z_$][A-Za-z0-9_$]{0,47})\s*(?::\s*\w+\s*)?=(?!=)\s*(?P<value>"[^"]*"|'[^']*'|\S+)"""),
-    "colon": re.compile(r"""^[\s>*-]*(?P<key>[^\W\d][^:\n"'`{}]{0,47}?)\s*:\s+(?P<value>\S.*)$"""),
-    "wide-colon": re.compile(r"""(?P<key>[^\x00-\x7F\s：]{1,24})\s*[：:]\s*(?P<value>\S+)"""),
-    "header": re.compile(r"""["']\s*(?P<key>[A-Za-z][A-Za-z0-9-]{0,47})\s*:\s+(?P<value>[^"']+)"""),
-    "flag": re.compile(r"""(?:^|\s)--(?P<key>[A-Za-z][A-Za-z0-9-]{0,47})=(?!=)(?P<value>"[^"]*"|'[^']*'|\S+)"""),
-    "call": re.compile(r"""(?:^|[\s;{(,[.])(?:set|with|put|add|update)?(?P<key>[A-Za-z_$][A-Za-z0-9_$]{0,47})\s*\(\s*(?P<value>"[^"]{1,512}"|'[^']{1,512}')\s*[,)]"""),
-}
-
-
 @dataclass(frozen=True)
 class Slot:
     key: str
@@ -69,18 +58,124 @@ class Slot:
     end: int
 
 
+MOST_KEY, MOST_WIDE_KEY = 48, 24
+QUOTES = "\"'`"
+DECLARES = {"const", "let", "var", "val", "my", "final", "String"}
+VERBS = ("set", "with", "put", "add", "update")
+
+
+def skip(line: str, at: int, step: int) -> int:
+    """The first place from at on, in steps of 1 or -1, that holds no blank."""
+    while 0 <= at < len(line) and line[at] in " \t":
+        at += step
+    return at
+
+
+def is_name(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c in "_$.-")
+
+
+def name_before(line: str, at: int) -> tuple[int, int]:
+    """The span of the name that ends before at, blanks passed over; empty where there is none."""
+    end = skip(line, at - 1, -1) + 1
+    start = end
+    while start and is_name(line[start - 1]):
+        start -= 1
+    return start, end
+
+
+def value_after(line: str, at: int, stops: str) -> tuple[int, int]:
+    """The span of the value from at on: within quotes, or up to one of the stops."""
+    a = skip(line, at, 1)
+    if a < len(line) and line[a] in QUOTES and (close := line.find(line[a], a + 1)) > 0:
+        return a + 1, close
+    b = a
+    while b < len(line) and line[b] not in stops:
+        b += 1
+    return a, b
+
+
+def tidied(line: str, a: int, b: int) -> tuple[int, int]:
+    """A span without trailing separators, and without the quotes around all of it."""
+    while a < b and line[b - 1] in " \t\r,;":
+        b -= 1
+    return (a + 1, b - 1) if b - a > 1 and line[a] in QUOTES and line[b - 1] == line[a] else (a, b)
+
+
+def at_equals(line: str, i: int) -> tuple[str, str, int, int] | None:
+    """(kind, key, start, end) of what an equals sign assigns: options, declarations, and lines of name and value."""
+    if line[i + 1 : i + 2] in ("=", ">") or i and line[i - 1] in "=!<>":
+        return None
+    a, b = name_before(line, i)
+    before = line[:a].rstrip()
+    if before.endswith(":"):  # a declared type stands between
+        a, b = name_before(line, len(before) - 1)
+        before = line[:a].rstrip()
+    key = line[a:b].lstrip("-")
+    if not key or len(key) > MOST_KEY or not (key[0].isalpha() or key[0] in "_$"):
+        return None
+    if line[a:b].startswith("--") and b == i and line[a - 1 : a] in ("", " ", "\t"):
+        return ("flag", key, *value_after(line, i + 1, " \t"))
+    if before.split(" ")[-1] in DECLARES:
+        return ("assignment", key, *value_after(line, i + 1, " \t;"))
+    if before.strip() in ("", "export"):
+        return ("env", key, skip(line, i + 1, 1), len(line))
+    return None
+
+
+def at_colon(line: str, i: int) -> tuple[str, str, int, int] | None:
+    """What a colon assigns: quoted keys, header texts within quotes, labels that begin a line, labels without blanks beyond ASCII."""
+    end = skip(line, i - 1, -1)
+    spaced = line[i + 1 : i + 2] in (" ", "\t")
+    if line[i] == ":" and end > 0 and line[end] in QUOTES:
+        start = line.rfind(line[end], 0, end)
+        if 0 <= start and 0 < end - start - 1 <= MOST_KEY:
+            return ("json", line[start + 1 : end], *value_after(line, i + 1, ",}]"))
+        return None
+    if line[i] == ":" and spaced:
+        for q in "\"'":
+            start = line.rfind(q, 0, i)
+            inside = line[start + 1 : i].strip()
+            if start >= 0 and line.count(q, 0, i) % 2 and 0 < len(inside) <= MOST_KEY and inside[0].isalpha() and inside.replace("-", "").isalnum() and inside.isascii():
+                close = line.find(q, i)
+                return ("header", inside, skip(line, i + 1, 1), close if close > 0 else len(line))
+        label = line[:i].lstrip(" \t>*-").rstrip()
+        if 0 < len(label) <= MOST_KEY and label[0].isalpha() and not set(label) & set(":{}\"'`"):
+            return ("colon", label, skip(line, i + 1, 1), len(line))
+    start = end + 1
+    while start and not line[start - 1].isascii() and not line[start - 1].isspace() and line[start - 1] != "：":
+        start -= 1
+    if 0 < end + 1 - start <= MOST_WIDE_KEY:
+        return ("wide-colon", line[start : end + 1], *value_after(line, i + 1, " \t\r"))
+    return None
+
+
+def at_call(line: str, i: int) -> tuple[str, str, int, int] | None:
+    """What a call with a quoted first argument sets; a verb that begins the name is left out of the key."""
+    a, b = name_before(line, i)
+    name = line[a:b].rpartition(".")[2]
+    quote = skip(line, i + 1, 1)
+    if not name or len(name) > MOST_KEY + 6 or not (name[0].isalpha() or name[0] in "_$") or line[quote : quote + 1] not in ("'", '"'):
+        return None
+    close = line.find(line[quote], quote + 1)
+    if close < 0 or line[skip(line, close + 1, 1) : skip(line, close + 1, 1) + 1] not in (",", ")"):
+        return None
+    verb = next((v for v in VERBS if name.startswith(v) and len(name) > len(v)), "")
+    return ("call", name[len(verb) :], quote + 1, close)
+
+
+SIGNS = {"=": at_equals, ":": at_colon, "：": at_colon, "(": at_call}
+
+
 def line_slots(line: str, at: int) -> list[Slot]:
-    """Key and value pairs of one line that begins at `at`; values without quotes and trailing commas."""
+    """Key and value pairs of one line that begins at `at`: what each sign of the line assigns."""
     out = []
-    for kind, pattern in SLOTS.items():
-        for m in pattern.finditer(line):
-            a, b = m.span("value")
-            while a < b and line[b - 1] in " \t\r,;":
-                b -= 1
-            if b - a > 1 and line[a] in "\"'`" and line[b - 1] == line[a]:
-                a, b = a + 1, b - 1
+    for i, c in enumerate(line):
+        if c in SIGNS and (found := SIGNS[c](line, i)):
+            kind, key, *span = found
+            a, b = tidied(line, *span)
             if a < b:
-                out.append(Slot(m["key"].strip(), kind, at + a, at + b))
+                out.append(Slot(key.strip(), kind, at + a, at + b))
     return out
 
 
@@ -225,41 +320,121 @@ class Triggers:
 
 
 NUMERIC = "POSTAL_CODE NATIONAL_ID TAX_ID DRIVERS_LICENSE HEALTH_DATA US_ROUTING_NUMBER US_NPI CREDIT_CARD PHONE".split()
-UNITS = r"(?:mg|g|kg|ml|l|dl|mmol|iu|u|ng|pg|%|bpm|mmhg)(?:/\w+)?"
-EXAMPLE = r"\b(?:e\.g\.|for example|for instance|example|sample|such as|z\. ?b\.|zum beispiel|beispiel|par exemple|por ejemplo|ejemplo|esempio)[^.;!?\n]{0,60}$"
-ENUMERATION = r"\b(?:order|invoice|ticket|case|issue|item|page|chapter|section|figure|table|batch|version|build|bestellung|rechnung|commande|facture|pedido|factura|ordine|fattura)\b[\s#:.-]*(?:no|nr|number|id|num)?[\s#:.°-]*$"
+UNITS = set("mg g kg ml l dl mmol iu u ng pg % bpm mmhg µg µiu miu fl meq".split())
+#: Words that make an example of what follows, and nouns that number things.
+EXAMPLES = ("e.g.", "for example", "for instance", "example", "sample", "such as", "z.b.", "z. b.", "zum beispiel", "beispiel", "par exemple", "por ejemplo", "ejemplo", "per esempio", "esempio", "bijvoorbeeld", "np.", "örneğin", "например", "例如")
+NUMBERED = set("order invoice ticket case issue item page chapter section figure table batch version build receipt shipment tracking reference serial part model room bestellung rechnung auftrag artikel seite kapitel commande facture numéro article pedido factura artículo ordine fattura articolo encomenda fatura bestelling factuur zamówienie faktura sipariş fatura заказ счёт".split())
+NUMBER_WORDS = set("no nr number id num nummer numéro número numero №".split())
+REACH = 60
+
+
+def framed_as_example(line: str, at: int) -> bool:
+    """An example word stands in the REACH characters before a place, and no clause ends between."""
+    before = line[max(0, at - REACH - 20) : at].lower()
+    for word in EXAMPLES:
+        k = before.rfind(word)
+        if k >= 0 and (k == 0 or not before[k - 1].isalnum()):
+            between = before[k + len(word) :]
+            if len(between) <= REACH and not set(between) & set(".;!?\n"):
+                return True
+    return False
+
+
+def numbered_label(line: str, at: int) -> bool:
+    """The words right before a place are a noun that numbers things, and perhaps a word for number."""
+    words = line[max(0, at - 60) : at].lower().replace("#", " ").replace(":", " ").replace(".", " ").replace("-", " ").replace("°", " ").split()
+    while words and words[-1] in NUMBER_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in NUMBERED
 
 
 def token_around(line: str, a: int, b: int) -> str:
-    left = re.search(r"[\w.+-]*$", line[:a])[0]
-    return left + line[a:b] + re.match(r"[\w.+-]*", line[b:])[0]
+    word = lambda c: c.isalnum() or c in "_.+-"
+    while a and word(line[a - 1]):
+        a -= 1
+    while b < len(line) and word(line[b]):
+        b += 1
+    return line[a:b]
 
 
 def is_version(line: str, a: int, b: int) -> bool:
+    """The span is a part of v1.2, of three dotted numbers or more, or of a pre-release."""
     token = token_around(line, a, b)
-    return token != line[a:b] and bool(re.fullmatch(r"[vV]?\d+(?:\.\d+){2,}(?:-\w+)*|[vV]\d[\d.]*|\d[\d.]*-(?:rc|beta|alpha)[\w.]*", token))
+    if token == line[a:b]:
+        return False
+    body, _, tag = token.partition("-")
+    marked = body[:1] in ("v", "V")
+    numbers = body[marked:].split(".")
+    if not all(x.isdigit() for x in numbers):
+        return False
+    return marked or len(numbers) >= 3 or tag.startswith(("rc", "beta", "alpha"))
+
+
+PHONE_SIGNS = set("0123456789 ()./-")
 
 
 def in_phone(line: str, a: int, b: int) -> bool:
-    run = re.search(r"\+\d[\d ()./-]*$", line[:a])
-    return bool(run) and 8 <= sum(c.isdigit() for c in run[0] + line[a:b] + re.match(r"[\d ()./-]*", line[b:])[0]) <= 15
+    """The span is within a run of phone signs that begins with + and a digit and has 8 to 15 digits."""
+    start, end = a, b
+    while start and line[start - 1] in PHONE_SIGNS:
+        start -= 1
+    while end < len(line) and line[end] in PHONE_SIGNS:
+        end += 1
+    return start < a and start > 0 and line[start - 1] == "+" and line[start].isdigit() and 8 <= sum(c.isdigit() for c in line[start:end]) <= 15
+
+
+def in_authority(line: str, a: int, b: int) -> bool:
+    """The span is in the part of a URI between :// and the path."""
+    k = line.rfind("://", 0, a)
+    return k > 0 and line[k - 1].isalnum() and not set(line[k + 3 : a]) & set(" \t/?#")
+
+
+def is_port(line: str, a: int, b: int) -> bool:
+    host = token_around(line, a - 1, a - 1) if a > 1 and line[a - 1] == ":" else ""
+    name, dot, top = host.rpartition(".")
+    return bool(dot and name) and len(top) >= 2 and top.isalpha() and line[a:b].isdigit() and int(line[a:b]) <= 65535
+
+
+def in_measured_range(line: str, a: int, b: int) -> bool:
+    """The span is within brackets that follow a number with a unit."""
+    k = max(line.rfind("[", 0, a), line.rfind("(", 0, a))
+    if k < 0 or set(line[k + 1 : a]) & set("])"):
+        return False
+    words = line[:k].lower().split()
+    unit = words[-1].lstrip("0123456789.,") if words else ""
+    measured = words and (words[-1][0].isdigit() or len(words) > 1 and words[-2][-1].isdigit())
+    return bool(measured) and unit.split("/")[0] in UNITS
+
+
+def beside_digits(line: str, a: int, b: int, before: str, after: str) -> bool:
+    """A digit stands beyond one of the signs before or after the span."""
+    return b + 1 < len(line) and line[b] in after and line[b + 1].isdigit() or a > 1 and line[a - 1] in before and line[a - 2].isdigit()
+
+
+def in_data_uri(line: str, a: int, b: int) -> bool:
+    k = line.rfind(";base64,", 0, a)
+    return k >= 0 and all(c.isascii() and (c.isalnum() or c in "+/=") for c in line[k + 8 : a])
+
+
+def beside_degrees(line: str, a: int, b: int) -> bool:
+    return "<<<" in line[max(0, a - 40) : b + 40] or line[b : b + 1] in tuple("°′″") or a > 0 and line[a - 1] in "°′″"
 
 
 #: (rule, types, delta or None to suppress, predicate over the candidate's line); the first suppressing rule ends the list.
 NEGATIVE = [
     ("phone-run-interior", [t for t in NUMERIC if t != "PHONE"], None, in_phone),
-    ("uri-authority", "EMAIL POSTAL_CODE NATIONAL_ID TAX_ID DRIVERS_LICENSE".split(), None, lambda s, a, b: re.search(r"[a-zA-Z][\w+.-]*://[^\s/?#]*$", s[:a])),
-    ("host-port", ["POSTAL_CODE"], None, lambda s, a, b: re.search(r"[\w-]\.[A-Za-z]{2,}:$", s[:a]) and s[a:b].isdigit() and int(s[a:b]) <= 65535),
-    ("bracketed-numeric-range", "POSTAL_CODE NATIONAL_ID TAX_ID".split(), None, lambda s, a, b: re.search(rf"\d\s*{UNITS}\s*[\[(][^\])]*$", s[:a], re.I)),
+    ("uri-authority", "EMAIL POSTAL_CODE NATIONAL_ID TAX_ID DRIVERS_LICENSE".split(), None, in_authority),
+    ("host-port", ["POSTAL_CODE"], None, is_port),
+    ("bracketed-numeric-range", "POSTAL_CODE NATIONAL_ID TAX_ID".split(), None, in_measured_range),
     ("version-number", NUMERIC, None, is_version),
-    ("fragment-boundary", "POSTAL_CODE DRIVERS_LICENSE HEALTH_DATA".split(), None, lambda s, a, b: re.match(r"[/:.]\d", s[b:]) or re.search(r"\d[:/]$", s[:a])),
-    ("digit-group-run-member", ["POSTAL_CODE"], None, lambda s, a, b: re.match(r"[ -]\d", s[b:]) or re.search(r"\d[ -]$", s[:a])),
-    ("notation-delimiter", "POSTAL_CODE SWIFT_BIC NATIONAL_ID TAX_ID".split(), None, lambda s, a, b: "<<<" in s[max(0, a - 40) : b + 40] or re.match("[°′″]", s[b:]) or re.search("[°′″]$", s[:a])),
-    ("data-uri-payload", ["GENERIC_SECRET"], None, lambda s, a, b: re.search(r";base64,[A-Za-z0-9+/=]*$", s[:a])),
-    ("uninformative-key-body", ["API_KEY"], None, lambda s, a, b: len(set(re.split(r"[_-]", s[a:b])[-1])) == 1),
-    ("enumeration-label", "NATIONAL_ID TAX_ID HEALTH_DATA US_ROUTING_NUMBER US_NPI".split(), -0.20, lambda s, a, b: re.search(ENUMERATION, s[:a], re.I)),
-    ("example-frame", "POSTAL_CODE DRIVERS_LICENSE".split(), None, lambda s, a, b: re.search(EXAMPLE, s[max(0, a - 90) : a], re.I)),
-    ("example-frame-validated", "NATIONAL_ID TAX_ID CREDIT_CARD IBAN API_KEY GENERIC_SECRET".split(), -0.25, lambda s, a, b: re.search(EXAMPLE, s[max(0, a - 90) : a], re.I)),
+    ("fragment-boundary", "POSTAL_CODE DRIVERS_LICENSE HEALTH_DATA".split(), None, lambda s, a, b: beside_digits(s, a, b, ":/", "/:.")),
+    ("digit-group-run-member", ["POSTAL_CODE"], None, lambda s, a, b: beside_digits(s, a, b, " -", " -")),
+    ("notation-delimiter", "POSTAL_CODE SWIFT_BIC NATIONAL_ID TAX_ID".split(), None, beside_degrees),
+    ("data-uri-payload", ["GENERIC_SECRET"], None, in_data_uri),
+    ("uninformative-key-body", ["API_KEY"], None, lambda s, a, b: len(set(s[a:b].replace("-", "_").rpartition("_")[2])) == 1),
+    ("enumeration-label", "NATIONAL_ID TAX_ID HEALTH_DATA US_ROUTING_NUMBER US_NPI".split(), -0.20, lambda s, a, b: numbered_label(s, a)),
+    ("example-frame", "POSTAL_CODE DRIVERS_LICENSE".split(), None, lambda s, a, b: framed_as_example(s, a)),
+    ("example-frame-validated", "NATIONAL_ID TAX_ID CREDIT_CARD IBAN API_KEY GENERIC_SECRET".split(), -0.25, lambda s, a, b: framed_as_example(s, a)),
 ]
 
 
@@ -340,16 +515,20 @@ def near_any(text: str, triggers: Triggers):
     return near
 
 
-def with_slots(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with slots, an array of (key, kind, start, end); a null text has none."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def slot_spans(text: Column) -> Column:
+    """The slots of a text column, an array of (key, kind, start, end); only the texts go to Python. A null text has none."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = StructType([*df.schema.fields, StructField("slots", _parse_datatype_string("array<struct<key: string, kind: string, start: int, end: int>>"))])
-    arrow, place = to_arrow_schema(StructType([schema["slots"]])).field(0).type, df.columns.index(text)
+    kind = "array<struct<key: string, kind: string, start: int, end: int>>"
+    arrow = to_arrow_type(_parse_datatype_string(kind))
 
-    def run(batches):
-        for b in batches:
-            found = [[vars(s) for s in structure_index(t)] if t else [] for t in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, type=arrow)], names=[*b.schema.names, "slots"])
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([[vars(s) for s in structure_index(t)] if t else [] for t in texts.to_pylist()], type=arrow)
 
-    return df.mapInArrow(run, schema)
+    return found(text)
+
+
+def with_slots(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with slots; replaces a column of that name."""
+    return df.withColumn("slots", slot_spans(F.col(text)))
