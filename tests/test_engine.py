@@ -1,3 +1,5 @@
+import dataclasses
+import random
 import re
 
 import pytest
@@ -7,8 +9,9 @@ import __spark_entry__
 from veilframe.functions import checks
 from veilframe.functions.text import normalize
 from veilframe.operators import decide, spans
-from veilframe.operators.catalog import CATALOG
-from veilframe.operators.masking import restored
+from veilframe.operators.catalog import CATALOG, detectors
+from veilframe.operators.detect import scan
+from veilframe.operators.masking import masked, restored, with_tokens
 from veilframe.plans.protect import protect
 from veilframe.streaming.restore import Restorer, restore
 
@@ -57,6 +60,93 @@ def test_resolution_leaves_no_hole_and_no_overlap(spark):
     assert spans.coverage_holes(before, kept).count() == 0
 
 
+SPAN = "array<struct<start: int, end: int, type: string, raw_conf: double, detector_id: string, sensitive: boolean, text: string, canonical: string>>"
+
+
+def test_resolution_is_disjoint_and_restores(spark):
+    rng = random.Random(5)
+    text = "ABCDEFGHIJKLMNOPQRSTUVWXYZ é😀 [VIN_3] 0123456789"
+    kinds = ["EMAIL", "PHONE", "VIN", "NATIONAL_ID", "GENERIC_SECRET"]
+    rows = [(0, text, [(0, 6, "EMAIL", 0.9, "a", True, text[0:6], None), (8, 14, "PHONE", 0.8, "b", True, text[8:14], None), (5, 10, "VIN", 0.8, "c", True, text[5:10], "x")])]
+    for i in range(1, 300):
+        found = []
+        for _ in range(rng.randint(0, 8)):
+            a = rng.randrange(len(text) - 1)
+            b = rng.randint(a + 1, min(len(text), a + 12))
+            found.append((a, b, rng.choice(kinds), rng.choice([0.3, 0.6, 0.85]), rng.choice("ab"), rng.random() < 0.8, text[a:b], text[a:b].lower() if rng.random() < 0.3 else None))
+        rows.append((i, text, found))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, c {SPAN}").withColumn("w", spans.resolved(F.col("c"), F.col("text")))
+    df = df.withColumn("t", with_tokens(F.col("w"), F.col("text"))).withColumn("m", masked(F.col("text"), F.col("t")))
+    out = df.select("*", restored(F.col("m"), F.col("t")).alias("back"), spans.overlapping(F.col("w")).alias("clash"), spans.segments(F.col("text"), F.col("w")).alias("parts")).collect()
+    for r in out:
+        assert not r["clash"] and all(x["text"] == text[x["start"] : x["end"]] for x in r["w"])
+        assert all(any(x["start"] <= c["start"] and c["end"] <= x["end"] for x in r["w"]) for c in r["c"] if c["sensitive"])
+        assert r["back"] == text and "".join(p["text"] for p in r["parts"]) == text and not any(t["token"] in text for t in r["t"])
+    assert [(x["start"], x["end"]) for x in out[0]["w"]] == [(0, 14)] and any(spans_overlap(r["c"]) for r in out)
+
+
+def spans_overlap(found):
+    return any(a["start"] < b["end"] and b["start"] < a["end"] for i, a in enumerate(found) for b in found[:i])
+
+
+def test_protect_restores_joined_values(spark):
+    values = ["12 rue de Paris zip E11.9", "943 476 5919/joe@acme.io, ", "[EMAIL_1] and joe@acme.io", "https://u:secret1@acme.io/x joe@acme.io", "ssn: 536-90-4399/4111111111111111", "می‌خواهم joe@acme.io ½"]
+    rng = random.Random(1)
+    texts = values + [rng.choice(["", " ", "/", ","]).join(rng.choice(values) for _ in range(3)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"candidates": F.lit(1), "tokens": F.lit("x")})
+    for mode in ("token", "surrogate"):
+        out = protect(df, profile="strict", mode=mode).withColumn("back", restored(F.col("masked_text"), F.col("tokens"))).collect()
+        assert len(out) == len(texts) and all(r["back"] == r["text"] and r["candidates"] == 1 for r in out)
+
+
+def test_protect_lists_and_curves(spark):
+    df = spark.createDataFrame([(0, "mail A@acme.io or b@acme.io")], "doc_id long, text string")
+    types = lambda **k: [e["text"] for e in protect(df, **k).first()["entities"]]
+    assert types() == ["A@acme.io", "b@acme.io"] and types(allow=[" a@ACME.io "]) == ["b@acme.io"]
+    assert types(profile="minimal") == [] and types(profile="minimal", deny=["B@acme.io  "]) == ["b@acme.io"]
+    assert types(curves={"EMAIL": [(0.5, 0.9), (1.1, 0.4)]}) == [] and types(curves={"*": [(1.1, 0.9)]}) == ["A@acme.io", "b@acme.io"]
+
+
+def verdict(name, text):
+    d = CATALOG[name]
+    return next((v for m in re.finditer(d.pattern, text, d.flags) if (v := d.validate(m))), None)
+
+
+@pytest.mark.parametrize(("name", "text", "sensitive"), [("credit-card", "4222222222222", False), ("credit-card", "5200828282828210", False), ("credit-card", "6759649826438453", True), ("iban", "GB82WEST12345698765432", False), ("iban", "GB33BUKB20201555555555", True), ("url-with-credentials", "https://user:pw@example.com/demo", False), ("url-with-credentials", "https://user:pw@acme.io/demo", True), ("health-data", "5.1 µg/L", True), ("health-data", "Glucose 182 mg/dL [70-99]", True), ("phone", "(415) 555-2671", True), ("national-id-us-ssn", "078-05-1120", False)])
+def test_published_values(name, text, sensitive):
+    assert verdict(name, f"x {text} y").sensitive is sensitive
+
+
+@pytest.mark.parametrize(("name", "text"), [("phone", "+1 555 0100 100"), ("iban", "GB33BUKB2020155555555A"), ("credit-card", "4111111111111112")])
+def test_invalid_values(name, text):
+    assert verdict(name, f"x {text} y") is None
+
+
+def test_normalize_keeps_joiners():
+    assert normalize("می‌خواهم")[0] == "می‌خواهم" and normalize("x‌y")[0] == "xy"
+    assert normalize("👩‍💻 a‍b")[0] == "👩‍💻 ab" and normalize("«a» –")[0] == "«a» -"
+
+
+def test_hints_hide_no_match():
+    rng = random.Random(2)
+    values = ["4111111111111111", "joe@acme.io", "GB33BUKB20201555555555", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abcDEF", "DEUTDEFF", "10 Downing Street", "00:1A:2b:3c:4d:5e", "Ag: 1234", "x" * 30, "word", "Bağdat Caddesi"]
+    active = [(re.compile(d.pattern, d.flags), d) for d in detectors()]
+    blind = [(p, dataclasses.replace(d, hint="")) for p, d in active]
+    key = lambda c: (c["start"], c["end"], c["detector_id"])
+    for _ in range(200):
+        text = "".join(rng.choice(values) + rng.choice([" ", "\n", "\n\n", "\n"]) for _ in range(8))
+        assert sorted(map(key, scan(text, active))) == sorted(map(key, scan(text, blind)))
+
+
+def test_percentiles_gates_and_contributors(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(1, 101)] + [("b", 7.0), ("b", None)], "k string, v double")
+    assert [tuple(r) for r in decide.percentiles(df, ["k"], "v").orderBy("k").collect()] == [("a", 50.0, 95.0, 99.0), ("b", 7.0, 7.0, 7.0)]
+    metrics = spark.createDataFrame([("EMAIL", 0.99, 1.0), ("PHONE", 0.5, 1.0)], "type string, precision double, recall double")
+    assert {r["type"]: r["passed"] for r in decide.gates(metrics, {"EMAIL": (0.9, 0.9), "PHONE": (0.9, 0.9), "IBAN": (0.5, 0.5)}, "type").collect()} == {"EMAIL": True, "PHONE": False, "IBAN": False}
+    found = spark.createDataFrame([(1, "EMAIL", 0.9), (1, "PHONE", 0.9), (1, "API_KEY", 0.9)], "doc_id long, type string, raw_conf double")
+    assert [r["type"] for r in decide.top_contributors(found, most=2).orderBy("place").collect()] == ["API_KEY", "EMAIL"]
+
+
 def test_calibration_pools_violators(spark):
     df = spark.createDataFrame([(0.05, 1), (0.15, 0), (0.95, 1)], "s double, ok int")
     assert [round(p, 2) for _, p, _ in decide.fit_calibration(df, "s", "ok")] == [0.5, 1.0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.text import normalized_key
 from veilframe.operators.taxonomy import CATEGORY_OF, FACTOR, PROFILES, WEIGHT
 
 
@@ -20,13 +21,25 @@ def calibrate(score: Column, bins: list[tuple[float, float]]) -> Column:
     return F.coalesce(F.get(F.filter(table, lambda b: score < b["to"]), F.lit(0))["p"], F.lit(float(bins[-1][1])))
 
 
+def calibrated(kind: Column, score: Column, curves: dict[str, list[tuple[float, float]]] | None) -> Column:
+    """The score calibrated by the curve of its type, or by that of "*"; unchanged where there is none."""
+    out = calibrate(score, (curves or {}).get("*", []))
+    for name, bins in sorted((curves or {}).items()):
+        out = out if name == "*" else F.when(kind == name, calibrate(score, bins)).otherwise(out)
+    return out
+
+
+def decision(kind: Column, value: Column, conf: Column, limits: dict[str, float], allow: list[str] = (), deny: list[str] = ()) -> Column:
+    """deny-list, allow-list, out-of-profile, below-threshold or report, in this precedence; lists ignore case and spacing."""
+    threshold, key = lookup(kind, limits, 2.0), normalized_key(value)
+    listed = lambda xs: key.isin([" ".join(x.split()).lower() for x in xs])
+    return F.when(listed(deny), "deny-list").when(listed(allow), "allow-list").when(threshold > 1, "out-of-profile").when(conf < threshold, "below-threshold").otherwise("report")
+
+
 def decide(df: DataFrame, profile: str | dict[str, float], allow: list[str] = (), deny: list[str] = (), conf: str = "raw_conf") -> DataFrame:
-    """df with decision: deny-list, allow-list, out-of-profile, below-threshold or report, in this precedence."""
+    """df with decision."""
     limits = PROFILES[profile] if isinstance(profile, str) else profile
-    threshold = lookup(F.col("type"), limits, 2.0)
-    key = F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
-    said = F.when(key.isin([x.lower() for x in deny]), "deny-list").when(key.isin([x.lower() for x in allow]), "allow-list").when(threshold > 1, "out-of-profile").when(F.col(conf) < threshold, "below-threshold").otherwise("report")
-    return df.withColumn("decision", said)
+    return df.withColumn("decision", decision(F.col("type"), F.col("text"), F.col(conf), limits, allow, deny))
 
 
 def points(kind: Column, conf: Column) -> Column:
@@ -79,3 +92,26 @@ def calibration_error(rows: DataFrame, score: str, correct: str, bins: int = 10)
     at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
     b = rows.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("predicted"), F.avg(F.col(correct).cast("double")).alias("observed"))
     return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))) / F.sum("n"), 6).alias("ece"))
+
+
+def top_contributors(spans: DataFrame, key: str = "doc_id", conf: str = "raw_conf", most: int = 5) -> DataFrame:
+    """key, type, points and place of the types that add most to a document's exposure; ties go by name."""
+    by_type = spans.groupBy(key, "type").agg(F.round(F.sum(points(F.col("type"), F.col(conf))), 6).alias("points"))
+    order = Window.partitionBy(key).orderBy(F.desc("points"), "type")
+    return by_type.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Nearest-rank percentiles of a value: the ceil(share * n)-th smallest."""
+    order = Window.partitionBy(*by).orderBy(value)
+    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(order).alias("__r"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("__n"))
+    pick = lambda p: F.max(F.when(F.col("__r") == F.ceil(F.lit(p) * F.col("__n")), F.col(value)))
+    return ranked.groupBy(*by).agg(*[pick(p).alias(f"p{round(100 * p)}") for p in shares])
+
+
+def gates(metrics: DataFrame, floors: dict[str, tuple[float, float]], by: str) -> DataFrame:
+    """by, precision, recall and passed for each type with floors (precision, recall); a type without metrics fails."""
+    rows = [(k, float(p), float(r)) for k, (p, r) in sorted(floors.items())]
+    wanted = metrics.sparkSession.createDataFrame(rows, f"{by} string, min_precision double, min_recall double")
+    found = wanted.join(metrics.select(F.col(by).cast("string").alias(by), "precision", "recall"), by, "left")
+    return found.withColumn("passed", F.coalesce((F.col("precision") >= F.col("min_precision")) & (F.col("recall") >= F.col("min_recall")), F.lit(False)))
