@@ -10,7 +10,7 @@ from veilframe.operators.surrogates import surrogate
 from veilframe.plans.protect import protect
 
 VALUES = {
-    "iban": "GB82WEST12345698765432", "credit-card": "5500005555555559", "national-id-es-dni": "12345678Z", "national-id-br-cpf": "529.982.247-25", "vin": "1M8GDM9AXKP042788", "national-id-pl-pesel": "44051401359", "eu-vat": "DE136695976",
+    "iban": "GB33BUKB20201555555555", "credit-card": "5500005555555559", "national-id-es-dni": "12345678Z", "national-id-br-cpf": "529.982.247-25", "vin": "1M8GDM9AXKP042788", "national-id-pl-pesel": "44051401359", "eu-vat": "DE136695976",
     "national-id-it-codice-fiscale": "RSSMRA85T10A562S", "crypto-btc": "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "crypto-eth": "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "email": "joe@acme.io", "ip-v4": "8.8.4.4", "ip-v6": "2a00:1450::1", "swift-bic": "DEUTDEFF500",
 }
 

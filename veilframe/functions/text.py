@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -13,7 +14,7 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
 SINGLES = "\u2018\u2019\u201a\u201b\u2032\u2035"
 DOUBLES = "\u201c\u201d\u201e\u201f\u2033\u2036"
-INVISIBLE = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Hangul")
 FOLDED = SPACES + DASHES + SINGLES + DOUBLES
 TARGETS = " " * len(SPACES) + "-" * len(DASHES) + "'" * len(SINGLES) + '"' * len(DOUBLES)
 #: Every decimal digit beyond ASCII, by the rule of the Unicode database.
@@ -37,20 +38,49 @@ def fold_for_match(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c)[0] != "M"))
 
 
+FOLD_TABLE = str.maketrans(FOLDED + "".join(DIGITS), TARGETS + "".join(DIGITS.values()))
+#: Scripts whose words use joiners, and signs that joiners make one emoji of.
+JOINING, EMOJI = "\u0600-\u08ff\u0900-\u0dff\ufb50-\ufdff\ufe70-\ufefc", "\u2190-\u2bff\ufe0f\U0001f000-\U0001faff"
+DROPPED = f"[\u00ad\u200b\u200e\u200f\u202a-\u202e\u2060-\u2064\ufeff]|(?<![{JOINING}])\u200c|\u200c(?![{JOINING}])|(?<![{JOINING}{EMOJI}])\u200d|\u200d(?![{JOINING}{EMOJI}])"
+DROPPED_RE = re.compile(DROPPED)
+#: What normalization may change: invisibles, and characters beyond ASCII or with marks, each with its marks.
+CHANGING = re.compile(f"(?P<gone>{DROPPED})|[^\x00-\x7f\u0300-\u036f][\u0300-\u036f]*|[\x00-\x7f]?[\u0300-\u036f]+")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def folded_cluster(cluster: str) -> str:
+    return unicodedata.normalize("NFKC", cluster).translate(FOLD_TABLE)
+
+
 def normalize(text: str) -> tuple[str, list[int] | None]:
     """Invisibles out, NFKC by cluster, spaces, punctuation and digits folded; and the original start of each character.
 
-    None as the map is the identity, for a text that changes no length.
+    Joiners stay in scripts that use them and in emoji. None as the map is the identity, for a text that changes no length.
     """
     if text.isascii():
         return text, None
-    out, at = [], []
-    table = str.maketrans(FOLDED + "".join(DIGITS), TARGETS + "".join(DIGITS.values()))
-    for m in re.finditer("[^\u0300-\u036f][\u0300-\u036f]*|[\u0300-\u036f]+", text, re.S):
-        for c in unicodedata.normalize("NFKC", re.sub(INVISIBLE, "", m[0])).translate(table):
+    if unicodedata.is_normalized("NFKC", text) and not DROPPED_RE.search(text):
+        return text.translate(FOLD_TABLE), None
+    out, at, last = [], [], 0
+    for m in CHANGING.finditer(text):
+        a, b = m.span()
+        if last < a:
+            out.append(text[last:a])
+            at += range(last, a)
+        if m["gone"] is None:
+            c = folded_cluster(m[0])
             out.append(c)
-            at.append(m.start())
-    return "".join(out), None if at == list(range(len(text))) else [*at, len(text)]
+            at += range(a, b) if len(c) == b - a else [a] * len(c)
+        last = b
+    out.append(text[last:])
+    at += range(last, len(text))
+    return "".join(out), None if len(at) == len(text) and at == list(range(len(text))) else [*at, len(text)]
+
+
+def script_counts(text: Column) -> Column:
+    """Letters of a text by script, as a struct of counts."""
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    return F.struct(*[count(rf"\p{{Is{name}}}").alias(name.lower()) for name in SCRIPTS])
 
 
 def entropy(text: Column) -> Column:

@@ -40,6 +40,8 @@ class DetectorSpec:
     validate: Callable[[re.Match], Verdict | None]
     requires_context: bool = False
     flags: int = re.A
+    #: What every match's lines, or the lines beside them, must hold; "" for none. Lets scans pass over other lines.
+    hint: str = ""
 
     def __post_init__(self):
         if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", self.id) or not self.regions or not 0 < self.confidence <= 1:
@@ -60,21 +62,29 @@ def detectors(region: str | None = None, types: set[str] | None = None) -> list[
     return [d for d in CATALOG.values() if (region is None or GLOBAL in d.regions or region in d.regions) and (types is None or d.entity_type in types)]
 
 
-def detector(id: str, kind: str, regions: str, pattern: str, confidence: float, flags: int = re.A, context: bool = False):
+def detector(id: str, kind: str, regions: str, pattern: str, confidence: float, flags: int = re.A, context: bool = False, hint: str = ""):
     def add(validate):
-        register_detector(DetectorSpec(id, kind, tuple(regions.split()), pattern, confidence, validate, context, flags))
+        register_detector(DetectorSpec(id, kind, tuple(regions.split()), pattern, confidence, validate, context, flags, hint))
         return validate
 
     return add
 
 
+DIGIT = r"[0-9]"
+
+
+def before_of(m: re.Match) -> str:
+    """The character before a match, "" at the beginning."""
+    return m.string[m.start() - 1] if m.start() else ""
+
+
 def plain(m: re.Match) -> str:
     return re.sub(r"[^0-9A-Za-z]", "", m[0])
 
 
 def apart(m: re.Match, more: str = "") -> bool:
     """Not a fragment of a longer number."""
-    before, after = m.string[: m.start()][-1:], m.string[m.end() : m.end() + 2]
+    before, after = before_of(m), m.string[m.end() : m.end() + 2]
     return not (before and (before.isdigit() or before in "-" + more) or after[:1].isdigit() or after[:1] in ("-", *more) and after[1:2].isdigit())
 
 
@@ -82,7 +92,7 @@ def day(dd: str | int, mm: str | int) -> bool:
     return 1 <= int(mm) <= 12 and 1 <= int(dd) <= 31
 
 
-def number(id: str, kind: str, region: str, pattern: str, rule: Callable, validator: str, confidence: float = HIGH, group: int | None = None, flags: int = re.A, check_apart: bool = True):
+def number(id: str, kind: str, region: str, pattern: str, rule: Callable, validator: str, confidence: float = HIGH, group: int | None = None, flags: int = re.A, check_apart: bool = True, hint: str = DIGIT):
     """A detector for an id number: rule(alphanumerics, match) is true for a valid one."""
 
     def validate(m: re.Match) -> Verdict | None:
@@ -97,7 +107,7 @@ def number(id: str, kind: str, region: str, pattern: str, rule: Callable, valida
             return None
         return Verdict(confidence, s, ok != "test", validator, m.span(group) if group else None, {"region": region.split()[0]})
 
-    register_detector(DetectorSpec(id, kind, tuple(region.split()), pattern, confidence, validate, False, flags))
+    register_detector(DetectorSpec(id, kind, tuple(region.split()), pattern, confidence, validate, False, flags, hint))
 
 
 def mod11(weights, s: str, ten: int | None = None) -> bool:
@@ -128,7 +138,7 @@ number("us-routing-number", "US_ROUTING_NUMBER", "US", r"\b\d{9}\b", lambda s, m
 RESERVED = {"test", "example", "invalid", "localhost"}
 
 
-@detector("email", "EMAIL", GLOBAL, r"""(?:"[^"\r\n]{1,62}"|[\w!#$%&'*+/=?^`{|}~.-]+)@[^\W_](?:[^\W_]|-){0,61}(?:\.[^\W_](?:[^\W_]|-){0,62})+""", HIGH, re.U)
+@detector("email", "EMAIL", GLOBAL, r"""(?:"[^"\r\n]{1,62}"|[\w!#$%&'*+/=?^`{|}~.-]+)@[^\W_](?:[^\W_]|-){0,61}(?:\.[^\W_](?:[^\W_]|-){0,62})+""", HIGH, re.U, hint="@")
 def email(m):
     raw = m[0].lstrip(".'")
     start = m.start() + len(m[0]) - len(raw)
@@ -143,9 +153,9 @@ def email(m):
     return Verdict(HIGH, f"{local}@{domain.lower()}", not reserved, "email-structural", (start, m.end()))
 
 
-@detector("ip-v4", "IP_ADDRESS", GLOBAL, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", HIGH)
+@detector("ip-v4", "IP_ADDRESS", GLOBAL, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", HIGH, hint=DIGIT)
 def ipv4(m):
-    before, after = m.string[: m.start()][-1:], m.string[m.end() : m.end() + 2]
+    before, after = before_of(m), m.string[m.end() : m.end() + 2]
     parts = m[0].split(".")
     if before and (before in ".vV" or before.isdigit()) or after[:1] == "." and after[1:2].isdigit() or any(int(p) > 255 for p in parts):
         return None
@@ -158,7 +168,7 @@ def ipv4(m):
     return Verdict(HIGH if a.is_global else MEDIUM, str(a), True, "ipv4-range", metadata={"scope": "public" if a.is_global else "special"})
 
 
-@detector("ip-v6", "IP_ADDRESS", GLOBAL, r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,45}(?:\.\d{1,3}(?:\.\d{1,3}){2})?(?:%[0-9A-Za-z._~-]{1,16})?(?![\w:])", HIGH)
+@detector("ip-v6", "IP_ADDRESS", GLOBAL, r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,45}(?:\.\d{1,3}(?:\.\d{1,3}){2})?(?:%[0-9A-Za-z._~-]{1,16})?(?![\w:])", HIGH, hint=":")
 def ipv6(m):
     try:
         a = ipaddress.IPv6Address(m[0])
@@ -171,9 +181,9 @@ def ipv6(m):
     return Verdict(HIGH if a.is_global else MEDIUM, str(a), True, "ipv6-parse")
 
 
-@detector("mac-address", "MAC_ADDRESS", GLOBAL, r"\b(?:[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})\b", HIGH)
+@detector("mac-address", "MAC_ADDRESS", GLOBAL, r"\b(?:[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4})\b", HIGH, hint=r"[0-9A-Fa-f]{2}[:.-][0-9A-Fa-f]{2}")
 def mac(m):
-    if m.string[: m.start()][-1:] in (":", "-", ".") or re.match(r"[:.-][0-9A-Fa-f]", m.string[m.end() :]):
+    if before_of(m) in (":", "-", ".") or re.match(r"[:.-][0-9A-Fa-f]", m.string[m.end() : m.end() + 2]):
         return None
     s = plain(m).lower()
     if s in ("f" * 12, "0" * 12):
@@ -181,49 +191,98 @@ def mac(m):
     return Verdict(HIGH, s, True, "mac-structural")
 
 
-@detector("phone", "PHONE", GLOBAL, r"[+(]?\d[\d \t()./-]{4,22}\d", HIGH)
+@detector("phone", "PHONE", GLOBAL, r"[+(]?\d[\d \t()./-]{4,22}\d", HIGH, hint=DIGIT)
 def phone(m):
     s = re.sub(r"\D", "", m[0])
-    # without metadata of all plans, only international numbers are confirmed, by length
-    if not m[0].startswith("+") or not 8 <= len(s) <= 15 or s[0] == "0":
-        return None
-    return Verdict(HIGH, f"+{s}", True, "international-length")
+    # without metadata of all plans: international numbers by length, those of the North American plan by its rules too
+    if m[0].startswith("+"):
+        fits = north_american(s[1:]) if s[0] == "1" else 8 <= len(s) <= 15 and s[0] != "0"
+        return Verdict(HIGH, f"+{s}", True, "international-length", metadata={"region": "US"} if s[0] == "1" else {}) if fits else None
+    if m[0].startswith("(") and re.fullmatch(r"\(\d{3}\) ?\d{3}[-. ]\d{4}", m[0]) and north_american(s):
+        return Verdict(MEDIUM, f"+1{s}", True, "national-plan", metadata={"region": "US"})
+    return None
 
 
-# financial
-# Issuer prefixes in order, with their lengths.
-ISSUERS = [("amex", r"3[47]", (15,)), ("diners", r"3(?:0[0-5]|[689])", (14, 16, 19)), ("jcb", r"35(?:2[89]|[3-8])", (16, 17, 18, 19)), ("discover", r"6(?:011|4[4-9]|5)", (16, 19)), ("mastercard", r"5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)", (16,)), ("unionpay", r"62", (16, 17, 18, 19)), ("maestro", r"5[06-9]|6", tuple(range(12, 20))), ("visa", r"4", (13, 16, 19))]
-TEST_CARDS = {"4111111111111111", "4242424242424242", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431", "6011111111111117", "30569309025904", "3530111333300000", "4012888888881881"}
+def north_american(s: str) -> bool:
+    """Ten digits; area and exchange begin with 2 to 9 and end in no 11; 555-01xx is for fiction."""
+    return len(s) == 10 and s[0] in "23456789" and s[3] in "23456789" and s[1:3] != "11" and s[4:6] != "11" and not s[3:8] == "55501"
 
 
-@detector("credit-card", "CREDIT_CARD", GLOBAL, r"\b\d(?:[ -]?\d){11,18}\b", HIGH)
+# financial
+# Issuer prefixes, the longest first, as (low, high, issuer); lengths by issuer; published test numbers.
+BIN_RANGES = [
+    (622126, 622925, "discover"), (506099, 506198, "verve"), (507865, 507964, "verve"), (650002, 650027, "verve"), (401178, 401179, "elo"), (431274, 431274, "elo"),
+    (438935, 438935, "elo"), (451416, 451416, "elo"), (457393, 457393, "elo"), (457631, 457632, "elo"), (504175, 504175, "elo"), (506699, 506778, "elo"),
+    (509000, 509999, "elo"), (627780, 627780, "elo"), (636297, 636297, "elo"), (636368, 636368, "elo"), (650031, 650051, "elo"), (650405, 650439, "elo"),
+    (650485, 650538, "elo"), (650541, 650598, "elo"), (650700, 650727, "elo"), (650901, 650978, "elo"), (651652, 651679, "elo"), (655000, 655058, "elo"),
+    (9792, 9792, "troy"), (2200, 2204, "mir"), (3528, 3589, "jcb"), (2221, 2720, "mastercard"), (6011, 6011, "discover"), (6521, 6522, "rupay"), (3095, 3095, "diners"),
+    (300, 305, "diners"), (644, 649, "discover"), (508, 508, "rupay"),
+    (34, 34, "amex"), (37, 37, "amex"), (36, 36, "diners"), (38, 39, "diners"), (51, 55, "mastercard"), (65, 65, "discover"), (62, 62, "unionpay"), (60, 60, "rupay"),
+    (81, 82, "rupay"), (50, 50, "maestro"), (56, 59, "maestro"), (61, 61, "maestro"), (63, 64, "maestro"), (66, 69, "maestro"),
+    (4, 4, "visa"),
+]
+ISSUER_LENGTHS = {
+    "visa": (13, 16, 19), "mastercard": (16,), "amex": (15,), "discover": (16, 17, 18, 19), "jcb": (16, 17, 18, 19), "unionpay": (16, 17, 18, 19), "diners": (14, 15, 16, 17, 18, 19),
+    "maestro": (12, 13, 14, 15, 16, 17, 18, 19), "troy": (16,), "mir": (16, 17, 18, 19), "rupay": (16,), "elo": (16,), "verve": (16, 18, 19),
+}
+TEST_CARDS = {
+    "4111111111111111", "4012888888881881", "4222222222222", "4000056655665556", "4917610000000000", "5555555555554444", "5105105105105100", "5200828282828210", "2223003122003222",
+    "378282246310005", "371449635398431", "378734493671000", "6011111111111117", "6011000990139424", "6011981111111113", "3530111333300000", "3566002020360505", "30569309025904",
+    "38520000023237", "6200000000000005", "6200000000000047", "2200000000000053",
+}
+
+
+def issuer_of(s: str) -> str | None:
+    """The issuer of a card number by its prefix, None where the length isn't one of that issuer."""
+    found = next((name for low, high, name in BIN_RANGES if low <= int(s[: len(str(low))]) <= high), None)
+    return found if found and len(s) in ISSUER_LENGTHS[found] else None
+
+
+@detector("credit-card", "CREDIT_CARD", GLOBAL, r"\b\d(?:[ -]?\d){11,18}\b", HIGH, hint=DIGIT)
 def credit_card(m):
     s = plain(m)
-    issuer = next((n for n, p, sizes in ISSUERS if re.match(p, s) and len(s) in sizes), None)
+    issuer = issuer_of(s)
     if not issuer or not luhn(s) or not apart(m):
         return None
     return Verdict(HIGH, s, s not in TEST_CARDS, "luhn-bin", metadata={"issuer": issuer})
 
 
-# Lengths of account numbers by country.
-IBAN_LENGTHS = dict(p.split(":") for p in "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VG:24 XK:20".split())
-
-
-@detector("iban", "IBAN", GLOBAL, r"\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){10,32}", HIGH)
+# Account numbers behind the country and check digits, as runs of digits (n), letters (a) or both (c); specimens.
+IBAN_STRUCTURES = {
+    "AD": "8n12c", "AE": "19n", "AL": "8n16c", "AT": "16n", "AZ": "4a20c", "BA": "16n", "BE": "12n", "BG": "4a6n8c", "BH": "4a14c", "BI": "23n", "BR": "23n1a1c", "BY": "4c4n16c",
+    "CH": "5n12c", "CR": "18n", "CY": "8n16c", "CZ": "20n", "DE": "18n", "DJ": "23n", "DK": "14n", "DO": "4c20n", "EE": "16n", "EG": "25n", "ES": "20n", "FI": "14n",
+    "FK": "2a12n", "FO": "14n", "FR": "10n11c2n", "GB": "4a14n", "GE": "2a16n", "GI": "4a15c", "GL": "14n", "GR": "7n16c", "GT": "4c20c", "HN": "4a20n", "HR": "17n", "HU": "24n",
+    "IE": "4a14n", "IL": "19n", "IQ": "4a15n", "IS": "22n", "IT": "1a10n12c", "JO": "4a4n18c", "KW": "4a22c", "KZ": "3n13c", "LB": "4n20c", "LC": "4a24c", "LI": "5n12c", "LT": "16n",
+    "LU": "3n13c", "LV": "4a13c", "LY": "21n", "MC": "10n11c2n", "MD": "20c", "ME": "18n", "MK": "3n10c2n", "MN": "16n", "MR": "23n", "MT": "4a5n18c", "MU": "4a19n3a", "NI": "4a20n",
+    "NL": "4a10n", "NO": "11n", "OM": "3n16c", "PK": "4a16c", "PL": "24n", "PS": "4a21c", "PT": "21n", "QA": "4a21c", "RO": "4a16c", "RS": "18n", "RU": "14n15c", "SA": "2n18c",
+    "SC": "4a20n3a", "SD": "14n", "SE": "20n", "SI": "15n", "SK": "20n", "SM": "1a10n12c", "SO": "19n", "ST": "21n", "SV": "4a20n", "TL": "19n", "TN": "20n", "TR": "5n17c",
+    "UA": "6n19c", "VA": "18n", "VG": "4a16n", "XK": "16n",
+}
+SPECIMEN_IBANS = {
+    "GB82WEST12345698765432", "GB29NWBK60161331926819", "DE89370400440532013000", "DE75512108001245126199", "FR1420041010050500013M02606", "FR7630006000011234567890189",
+    "NL91ABNA0417164300", "BE68539007547034", "ES9121000418450200051332", "IT60X0542811101000000123456", "CH9300762011623852957", "AT611904300234573201",
+    "TR330006100519786457841326", "PL61109010140000071219812874", "SE4550000000058398257466", "DK5000400440116243", "NO9386011117947", "FI2112345600000785",
+}
+IBAN_BODY = {c: re.compile(re.sub(r"(\d+)([nac])", lambda m: {"n": "[0-9]", "a": "[A-Z]", "c": "[A-Z0-9]"}[m[2]] + f"{{{m[1]}}}", s)) for c, s in IBAN_STRUCTURES.items()}
+IBAN_LENGTHS = {c: 4 + sum(map(int, re.findall(r"\d+", s))) for c, s in IBAN_STRUCTURES.items()}
+
+
+@detector("iban", "IBAN", GLOBAL, r"\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]){10,32}", HIGH, hint=DIGIT)
 def iban(m):
-    n, taken, end = int(IBAN_LENGTHS.get(m[0][:2].upper(), 0)), "", m.start()
+    n, taken, end = IBAN_LENGTHS.get(m[0][:2].upper(), 0), "", m.start()
     while n and len(taken) < n and end < m.end():
         taken += "" if m.string[end] == " " else m.string[end]
         end += 1
-    if not n or len(taken) < n or m.string[end : end + 1].isalnum() or int(numeric(taken[4:] + taken[:4])) % 97 != 1:
+    taken = taken.upper()
+    if not n or len(taken) < n or m.string[end : end + 1].isalnum() or not IBAN_BODY[taken[:2]].fullmatch(taken[4:]) or int(numeric(taken[4:] + taken[:4])) % 97 != 1:
         return None
-    return Verdict(HIGH, taken.upper(), True, "iban-mod97-structure", (m.start(), end), {"country": taken[:2].upper()})
+    return Verdict(HIGH, taken, taken not in SPECIMEN_IBANS, "iban-mod97-structure", (m.start(), end), {"country": taken[:2].upper()})
 
 
 COUNTRIES = set("AD AE AF AG AL AM AO AR AT AU AZ BA BB BD BE BF BG BH BI BJ BN BO BR BS BT BW BY BZ CA CD CF CG CH CI CL CM CN CO CR CU CV CY CZ DE DJ DK DM DO DZ EC EE EG ER ES ET FI FJ FR GA GB GD GE GH GM GN GQ GR GT GW GY HK HN HR HT HU ID IE IL IN IQ IR IS IT JM JO JP KE KG KH KM KR KW KZ LA LB LI LK LR LS LT LU LV LY MA MC MD ME MG MK ML MM MN MO MR MT MU MV MW MX MY MZ NA NE NG NI NL NO NP NZ OM PA PE PG PH PK PL PT PY QA RO RS RU RW SA SC SD SE SG SI SK SL SN SO SR SV SY TD TG TH TJ TM TN TO TR TT TW TZ UA UG US UY UZ VE VN YE ZA ZM ZW".split())
 
 
-@detector("swift-bic", "SWIFT_BIC", GLOBAL, r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", MEDIUM)
+@detector("swift-bic", "SWIFT_BIC", GLOBAL, r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", MEDIUM, hint="[A-Z]{6}")
 def bic(m):
     s = m[0]
     if s[4:6] not in COUNTRIES or s[6] in "01":
@@ -276,7 +335,7 @@ def segwit(s: str, prefix: str) -> bool:
 
 
 def coin(id: str, pattern: str, rule: Callable[[str], bool], validator: str, confidence: float = HIGH):
-    detector(id, "CRYPTO_WALLET", GLOBAL, pattern, confidence)(lambda m: Verdict(confidence, m[0], True, validator, metadata={"chain": id.split("-")[1]}) if rule(m[0]) else None)
+    detector(id, "CRYPTO_WALLET", GLOBAL, pattern, confidence, hint=r"[0-9A-Za-z]{14}")(lambda m: Verdict(confidence, m[0], True, validator, metadata={"chain": id.split("-")[1]}) if rule(m[0]) else None)
 
 
 version = lambda s, *v: (raw := base58check(s)) is not None and len(raw) == 21 and raw[0] in v
@@ -288,11 +347,11 @@ coin("crypto-dot", r"\b1[1-9A-HJ-NP-Za-km-z]{44,50}\b", lambda s: len(raw := bas
 coin("crypto-ada", r"\b(?:addr1[02-9ac-hj-np-z]{20,110}|(?:Ae2|DdzFF)[1-9A-HJ-NP-Za-km-z]{20,120})\b", lambda s: bool((got := bech32(s)) and got[0] == "addr" and got[2] == 1) if s.startswith("addr1") else len(base58(s) or b"") >= 30, "bech32")
 
 # documents
-number("vin", "VIN", GLOBAL, r"\b[A-HJ-NPR-Z0-9]{17}\b", lambda s, m: not s.isdigit() and "0123456789X"[sum(int(c if c.isdigit() else "12345678*12345*7*923456789"["ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)]) * w for c, w in zip(s, (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2))) % 11] == s[8], "iso3779", check_apart=False)
+number("vin", "VIN", GLOBAL, r"\b[A-HJ-NPR-Z0-9]{17}\b", lambda s, m: not s.isdigit() and "0123456789X"[sum(int(c if c.isdigit() else "12345678*12345*7*923456789"["ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)]) * w for c, w in zip(s, (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2))) % 11] == s[8], "iso3779", check_apart=False, hint=r"[A-Z0-9]{17}")
 number("us-npi", "US_NPI", "US", r"\b\d{10}\b", lambda s, m: s[0] in "12" and luhn("80840" + s), "luhn-80840")
 
 
-@detector("passport-mrz", "PASSPORT_MRZ", GLOBAL, r"(?:^|\n)(?:[A-Z0-9<]{30}\r?\n[A-Z0-9<]{30}\r?\n[A-Z0-9<]{30}|[A-Z0-9<]{44}\r?\n[A-Z0-9<]{44}|[A-Z0-9<]{36}\r?\n[A-Z0-9<]{36})", MAXIMUM)
+@detector("passport-mrz", "PASSPORT_MRZ", GLOBAL, r"(?:^|\n)(?:[A-Z0-9<]{30}\r?\n[A-Z0-9<]{30}\r?\n[A-Z0-9<]{30}|[A-Z0-9<]{44}\r?\n[A-Z0-9<]{44}|[A-Z0-9<]{36}\r?\n[A-Z0-9<]{36})", MAXIMUM, hint="[A-Z0-9<]{30}")
 def mrz(m):
     raw = m[0].lstrip("\n")
     lines = raw.replace("\r", "").split("\n")
@@ -308,7 +367,11 @@ def mrz(m):
     return Verdict(MAXIMUM, "\n".join(lines), True, "icao9303-all-check-digits", (m.end() - len(raw), m.end()))
 
 
-@detector("health-data", "HEALTH_DATA", GLOBAL, r"\b(?:[A-TV-Z]\d{2}\.[A-Z0-9]{1,4}|\d{6,18}|\d+(?:\.\d+)?\s?(?:mg/dL|mmol/L|g/dL|IU/L|U/L|ng/mL|pg/mL|%|mEq/L))(?!\w)", MEDIUM)
+# Units of laboratory results.
+LAB_UNITS = "mg/dL|mmol/L|g/dL|mIU/L|IU/L|U/L|ng/mL|pg/mL|µg/L|μg/L|ug/L|µIU/mL|μIU/mL|uIU/mL|%|mEq/L|k/µL|k/μL|K/uL|fL"
+
+
+@detector("health-data", "HEALTH_DATA", GLOBAL, r"\b(?:[A-TV-Z]\d{2}\.[A-Z0-9]{1,4}|\d{6,18}|\d+(?:\.\d+)?\s?(?:" + LAB_UNITS + r")(?:\s?[\[(]\s?\d+(?:\.\d+)?\s?[-–]\s?\d+(?:\.\d+)?\s?[\])])?)(?!\w)", MEDIUM, hint=DIGIT)
 def health(m):
     s = m[0]
     if s.isdigit():
@@ -323,7 +386,7 @@ PROVIDERS = {"github_pat_": 20, "ghp_": 36, "gho_": 36, "ghu_": 36, "ghs_": 36,
 B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-@detector("api-key", "API_KEY", GLOBAL, r"\b(?:" + "|".join(sorted(map(re.escape, PROVIDERS), key=len, reverse=True)) + r")[A-Za-z0-9._-]{9,129}[A-Za-z0-9_-]", HIGH)
+@detector("api-key", "API_KEY", GLOBAL, r"\b(?:" + "|".join(sorted(map(re.escape, PROVIDERS), key=len, reverse=True)) + r")[A-Za-z0-9._-]{9,129}[A-Za-z0-9_-]", HIGH, hint=r"[A-Za-z0-9._-]{14}")
 def api_key(m):
     s = m[0]
     prefix = next(p for p in sorted(PROVIDERS, key=len, reverse=True) if s.startswith(p))
@@ -340,7 +403,7 @@ def api_key(m):
     return Verdict(HIGH, s, "_test_" not in prefix, "provider-prefix", metadata={"provider": prefix})
 
 
-@detector("jwt", "JWT", GLOBAL, r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}\b", HIGH)
+@detector("jwt", "JWT", GLOBAL, r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{2,}\b", HIGH, hint="eyJ")
 def jwt(m):
     head = m[0].split(".")[0]
     try:
@@ -360,7 +423,7 @@ def pem(m):
 SCHEMES = set("postgres postgresql mysql mariadb mongodb mongodb+srv redis rediss amqp amqps mssql sqlserver oracle clickhouse cassandra cockroachdb jdbc ldap ldaps".split())
 
 
-@detector("connection-string", "CONNECTION_STRING", GLOBAL, r"""\b[a-zA-Z][a-zA-Z0-9+]*://[^\s"'<>,|]*:[^\s"'<>,|@]*@[^\s"'<>,|]{2,300}""", HIGH)
+@detector("connection-string", "CONNECTION_STRING", GLOBAL, r"""\b[a-zA-Z][a-zA-Z0-9+]*://[^\s"'<>,|]*:[^\s"'<>,|@]*@[^\s"'<>,|]{2,300}""", HIGH, hint="://")
 def connection(m):
     scheme, _, rest = m[0].partition("://")
     password = rest.rpartition("@")[0].partition(":")[2]
@@ -369,12 +432,15 @@ def connection(m):
     return Verdict(HIGH, m[0], password.lower() not in {"password", "changeme", "secret", "xxx", "***"}, "connection-string")
 
 
-@detector("url-with-credentials", "URL_WITH_CREDENTIALS", GLOBAL, r"""\b(?:https?|ftps?|ssh|git)://[^\s/"'<>:@]+:[^\s/"'<>@]+@[^\s"'<>]+""", HIGH)
+@detector("url-with-credentials", "URL_WITH_CREDENTIALS", GLOBAL, r"""\b(?:https?|ftps?|ssh|git)://[^\s/"'<>:@]+:[^\s/"'<>@]+@[^\s"'<>]+""", HIGH, hint="://")
 def url_credentials(m):
-    return Verdict(HIGH, m[0], True, "userinfo-password")
+    """Hosts that are reserved for documentation hold no secret."""
+    host = re.split(r"[/?#:]", m[0].partition("://")[2].rpartition("@")[2])[0].lower()
+    labels = host.split(".")
+    return Verdict(HIGH, m[0], not (labels[-1] in RESERVED or labels[-2:] in (["example", t] for t in ("com", "net", "org"))), "userinfo-password")
 
 
-@detector("coordinates", "COORDINATES", GLOBAL, r"(?<![\d.])-?\d{1,3}\.\d{3,8}°?(?: ?[NS])?[,;]\s*-?\d{1,3}\.\d{3,8}°?(?: ?[EW])?(?![\d.])", MEDIUM)
+@detector("coordinates", "COORDINATES", GLOBAL, r"(?<![\d.])-?\d{1,3}\.\d{3,8}°?(?: ?[NS])?[,;]\s*-?\d{1,3}\.\d{3,8}°?(?: ?[EW])?(?![\d.])", MEDIUM, hint=DIGIT)
 def coordinates(m):
     lat, lon = (float(x) for x in re.findall(r"-?\d+\.\d+", m[0])[:2])
     if abs(lat) > 90 or abs(lon) > 180 or lat == lon == 0:
@@ -433,7 +499,7 @@ number("national-id-br-cpf", N, "BR", r"\b(\d{3})\.?(\d{3})\.?(\d{3})-?(\d{2})\b
 number("national-id-br-cnpj", T, "BR", r"\b(\d{2})\.?(\d{3})\.?(\d{3})/?(\d{4})-?(\d{2})\b", lambda s, m: not repeated(s) and complement11((5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), s) and complement11((6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), s), "cnpj-dual-mod11")
 number("national-id-ar-cuit", T, "AR", r"\b(\d{2})-(\d{8})-(\d)\b", lambda s, m: (11 - weigh(s, (5, 4, 3, 2, 7, 6, 5, 4, 3, 2)) % 11) % 11 == int(s[10]), "cuit-mod11")
 number("national-id-cl-rut", N, "CL", r"\b(\d{1,2}(?:\.\d{3}){2}|\d{7,8})-([\dKk])\b", lambda s, m: "0123456789K"[(11 - weigh(s[-2::-1], (2, 3, 4, 5, 6, 7) * 2) % 11) % 11] == s[-1].upper(), "rut-mod11")
-number("national-id-co-nit", T, "CO", r"\b(\d{1,3}(?:\.\d{3}){2,3}|\d{8,10})-(\d)\b", lambda s, m: (r if (r := weigh(s[-2::-1], (3, 7, 13, 17, 19, 23, 29, 37, 41, 43, 47)) % 11) < 2 else 11 - r) == int(s[-1]), "nit-mod11")
+number("national-id-co-nit", T, "CO", r"\b(\d{1,3}(?:\.\d{3}){2,3}|\d{8,10})-(\d)\b", lambda s, m: (r if (r := weigh(s[-2::-1], (3, 7, 13, 17, 19, 23, 29, 37, 41, 43, 47, 53, 59, 67, 71)) % 11) < 2 else 11 - r) == int(s[-1]), "nit-mod11")
 number("national-id-pe-dni", N, "PE", r"\bDNI(?:\s*(?:N[°º.]?|No\.?))?:?\s*(\d{8})\b", lambda s, m: True, "dni-labeled", MEDIUM, 1)
 number("national-id-ng-nin", N, "NG", r"\bNIN:?\s*(\d{11})\b", lambda s, m: True, "nin-labeled", MEDIUM, 1)
 number("national-id-ke", N, "KE", r"\bID\s?(?:No\.?|Number):?\s*(\d{8})\b", lambda s, m: True, "ke-id-labeled", MEDIUM, 1)

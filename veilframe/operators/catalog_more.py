@@ -8,7 +8,7 @@ from collections import Counter
 
 from veilframe.functions.checks import hybrid_11_10, icao, luhn, numeric, weigh
 from veilframe.functions.keccak import keccak256
-from veilframe.operators.catalog import B58, DNI, GLOBAL, HIGH, LOW, MEDIUM, N, T, Verdict, apart, coin, complement11, day, detector, number
+from veilframe.operators.catalog import B58, DIGIT, DNI, GLOBAL, HIGH, LOW, MEDIUM, N, T, Verdict, apart, coin, complement11, day, detector, number
 
 
 def two_phase(s: str, first, second, n: int) -> bool:
@@ -50,7 +50,7 @@ def monero(s: str) -> bool:
 coin("crypto-xmr", r"\b[48][1-9A-HJ-NP-Za-km-z]{94}(?:[1-9A-HJ-NP-Za-km-z]{11})?\b", monero, "monero-keccak")
 
 
-@detector("crypto-eth", "CRYPTO_WALLET", GLOBAL, r"\b0x[0-9a-fA-F]{40}\b", HIGH)
+@detector("crypto-eth", "CRYPTO_WALLET", GLOBAL, r"\b0x[0-9a-fA-F]{40}\b", HIGH, hint="0x")
 def ethereum(m):
     """Mixed case carries a checksum; one case has none. The zero address is nobody's."""
     body = m[0][2:]
@@ -67,7 +67,7 @@ def ethereum(m):
 US_LICENCES = {7: "CA", 11: "IL", 12: "FL", 14: "NJ", 18: "NY"}
 
 
-@detector("drivers-license", "DRIVERS_LICENSE", "GB US", r"\b(?:[A-Z9]{5}\d{6}[A-Z9]{2}\d[A-Z]{2}|[A-Za-z]\d{7}(?:\d{4,11})?)\b", MEDIUM)
+@detector("drivers-license", "DRIVERS_LICENSE", "GB US", r"\b(?:[A-Z9]{5}\d{6}[A-Z9]{2}\d[A-Z]{2}|[A-Za-z]\d{7}(?:\d{4,11})?)\b", MEDIUM, hint=DIGIT)
 def licence(m):
     s = m[0].upper()
     if s[1:].isdigit():
@@ -88,7 +88,7 @@ POSTAL = {
 POSTAL_PATTERNS = {k: re.compile(v) for k, v in POSTAL.items()}
 
 
-@detector("postal-code", "POSTAL_CODE", GLOBAL, r"\b(?:[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d|\d{4} ?[A-Z]{2}|[A-Z]{2,3}[- ]?\d{4,5}|[A-Z]\d{2} ?[A-Z0-9]{4}|\d{2,7}(?:[- ]\d{2,4})?)\b", MEDIUM, context=True)
+@detector("postal-code", "POSTAL_CODE", GLOBAL, r"\b(?:[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|[A-Z]\d[A-Z] ?\d[A-Z]\d|\d{4} ?[A-Z]{2}|[A-Z]{2,3}[- ]?\d{4,5}|[A-Z]\d{2} ?[A-Z0-9]{4}|\d{2,7}(?:[- ]\d{2,4})?)\b", MEDIUM, context=True, hint=DIGIT)
 def postal_code(m):
     s = m[0]
     if not apart(m, ".,") or re.fullmatch(r"19\d\d|20\d\d", s):
@@ -114,7 +114,7 @@ STREETS = {
 SHAPES = {k: re.compile(v) for k, v in STREETS.items()}
 
 
-@detector("street-address", "STREET_ADDRESS", GLOBAL, "|".join(STREETS.values()), MEDIUM, re.U, context=True)
+@detector("street-address", "STREET_ADDRESS", GLOBAL, "|".join(STREETS.values()), MEDIUM, re.U, context=True, hint=r"\d|Cad|Sok|Bulvar|Blv|Mah|شارع")
 def street(m):
     return Verdict(MEDIUM, m[0].strip(), True, "address-heuristic", metadata={"convention": next((k for k, p in SHAPES.items() if p.fullmatch(m[0])), "other")})
 
@@ -128,7 +128,7 @@ def bits(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-@detector("generic-secret", "GENERIC_SECRET", GLOBAL, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])", MEDIUM, context=True)
+@detector("generic-secret", "GENERIC_SECRET", GLOBAL, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/_=-])", MEDIUM, context=True, hint=r"[A-Za-z0-9+/_-]{20}")
 def generic_secret(m):
     s = m[0]
     if NOT_SECRET.fullmatch(s) or bits(s) < 3.5 or len(set(s)) < 10:
@@ -225,7 +225,7 @@ VAT = {
 }
 
 
-@detector("eu-vat", "VAT_NUMBER", " ".join(VAT), r"\b(" + "|".join(VAT) + r") ?([0-9A-Z]{2,13})\b", HIGH)
+@detector("eu-vat", "VAT_NUMBER", " ".join(VAT), r"\b(" + "|".join(VAT) + r") ?([0-9A-Z]{2,13})\b", HIGH, hint=DIGIT)
 def eu_vat(m):
     shape, rule = VAT[m[1]]
     found = bool(re.fullmatch(shape, m[2], re.A)) and rule(m[2])

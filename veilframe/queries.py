@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def found(spark: SparkSession, sf_dir: str, kind: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return detect.candidates(table(spark, sf_dir, name), key, types={kind})
+    return detect.candidates(table(spark, sf_dir, name, spread=True), key, types={kind})
 
 
 EMAIL_SQL = r"""SELECT doc_id, e AS email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_!#$%&''*+/=?^`{|}~.-]+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)+')) AS e FROM documents)"""
@@ -130,28 +130,28 @@ def monthly_insights(spark, sf_dir):
 @query()
 def protect_documents(spark, sf_dir):
     """The whole pass; no span leaks its value and restoring gives the text back (tested)."""
-    out = protect(table(spark, sf_dir, "documents").select("doc_id", "text"), profile="balanced")
+    out = protect(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), profile="balanced")
     return out.select("doc_id", "masked_text", F.size("entities").alias("n_entities"), F.size("leaked").alias("n_leaked"), "exposure_score", "exposure_band")
 
 
 @query()
 def protect_surrogates(spark, sf_dir):
     """The whole pass with surrogates that pass the same checks; restoring gives the text back (tested)."""
-    out = protect(table(spark, sf_dir, "documents").select("doc_id", "text"), profile="strict", mode="surrogate")
+    out = protect(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"), profile="strict", mode="surrogate")
     return out.select("doc_id", "masked_text", F.size("tokens").alias("n_tokens"), F.size("leaked").alias("n_leaked"))
 
 
 @query()
 def structure_slots(spark, sf_dir):
     """Key and value slots of all documents, counted by key and kind."""
-    out = context.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.explode("slots").alias("s"))
+    out = context.with_slots(table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")).select(F.explode("slots").alias("s"))
     return out.groupBy("s.key", "s.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def candidates_all(spark, sf_dir):
     """Candidates of the whole catalogue over all documents, by type."""
-    return detect.candidates(table(spark, sf_dir, "documents")).groupBy("type", "detector_id", "sensitive").agg(F.count(F.lit(1)).alias("n"))
+    return detect.candidates(table(spark, sf_dir, "documents", spread=True)).groupBy("type", "detector_id", "sensitive").agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
