@@ -184,6 +184,22 @@ def test_language_model_learns_contexts(spark):
     assert len(got) == 400 and sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.3
 
 
+def test_examples_are_the_texts_contexts():
+    texts = ["", "a b", " ".join(f"w{i % 50}" for i in range(300)), "x " * 33]
+    words = sorted({w for t in texts for w in language_model.tokens(t)})
+    import numpy as np
+
+    read = language_model.Reader(dict.fromkeys(words, 1), np.arange(len(words)), np.zeros(language_model.SHAPES, dtype=np.int64))
+    want = []
+    for t in texts:
+        s = [-1, -1, *(words.index(w) for w in language_model.tokens(t))]
+        want += [[s[i - 1], s[i - 2], s[i]] for i in range(2, len(s))]
+    assert language_model.examples(texts, read, -1, 1.0, 0).tolist() == want
+    assert all(x in want for x in language_model.examples(texts, read, -1, 0.25, 1).tolist())
+    taken = [len(language_model.random_blocks(f"text {i}", 320, 0.25, turn)) for turn in (0, 1) for i in range(1000)]
+    assert 0.23 < sum(taken) / 20_000 < 0.27 and taken[:1000] != taken[1000:]
+
+
 def test_averaged_round_weighs_by_rows(spark):
     import numpy as np
 
