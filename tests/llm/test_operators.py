@@ -449,7 +449,7 @@ def test_bm25_searches_documents_in_blocks(spark, monkeypatch):
     rng = random.Random(8)
     data = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(300 if i % 40 == 0 else rng.randint(5, 60)))) for i in range(130)]
     docs = spark.createDataFrame([*data, (None, "w1"), (200, None), (220, data[20][1])], "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    monkeypatch.setattr(queries, "table", lambda *_, **__: docs)
     monkeypatch.setattr(bm25_search, "QUERY_BLOCK", 3)
     out = queries.queries()["op1_document_search"](spark, "")
     data += [(200, ""), (220, data[20][1])]
