@@ -13,6 +13,16 @@ def monthly(events: DataFrame, ts: str, family: str, months: int = 24, most: int
     return n.join(F.broadcast(newest), "month")  # a row per month at most
 
 
+def well_formed(stored: DataFrame, most: int = 10**9) -> DataFrame:
+    """Rows of (month, family, n) whose month is a year and month and whose n lies in 1 to most; all others are dropped."""
+    return stored.where(F.col("month").rlike("^[0-9]{4}-(0[1-9]|1[0-2])$") & F.col("family").isNotNull() & F.col("n").between(1, most))
+
+
+def all_time(counts: DataFrame, most: int = 10**9) -> DataFrame:
+    """family and n over all months, n being most at most."""
+    return counts.groupBy("family").agg(F.least(F.sum("n"), F.lit(most)).alias("n"))
+
+
 def histogram(df: DataFrame, key: str, conf: str) -> DataFrame:
     """Ten-bin histogram of confidences by key."""
     at = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col(conf) * 10))).cast("int")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import checks, text
-from veilframe.operators import context, decide, detect, insights, spans
+from veilframe.operators import context, decide, detect, insights, recognize, spans
 from veilframe.plans.protect import protect
 from veilframe.sources.tables import table
 
@@ -127,6 +128,30 @@ def monthly_insights(spark, sf_dir):
     return insights.monthly(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+CAPITALISED = re.compile(r"[A-Z][a-z]{2,}|(?:(?![A-Z][a-z]{2})\S)+")
+
+
+def capitalised(window: str) -> list[recognize.Prediction]:
+    """A stand-in for a token classifier: words with a capital are names."""
+    return [(p, "B-PER" if re.fullmatch("[A-Z][a-z]{2,}", p) else "O", 0.9) for p in CAPITALISED.findall(window)]
+
+
+@query("SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS name FROM documents) GROUP BY ALL")
+def recognized_names(spark, sf_dir):
+    """Windows, alignment and decoding over whole texts, with a classifier whose names SQL can state."""
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", recognize.recognized_spans(F.col("text"), lambda: capitalised, "capitalised").alias("names"))
+    return docs.select("doc_id", F.explode("names.text").alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_type AS family, least(sum(n), 1000000000) AS n FROM (SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+WHERE n > 2 AND month NOT LIKE '%-02' GROUP BY event_type""")
+def all_time_insights(spark, sf_dir):
+    """Stored monthly counts, of which those of two events or fewer and those of February are malformed, summed by family."""
+    n = table(spark, sf_dir, "events").where("ts IS NOT NULL").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), F.col("event_type").alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    broken = n.withColumns({"n": F.when(F.col("n") > 2, F.col("n")).otherwise(-F.col("n")), "month": F.regexp_replace("month", "-02$", "-2")})
+    return insights.all_time(insights.well_formed(broken))
+
+
 @query()
 def protect_documents(spark, sf_dir):
     """The whole pass; no span leaks its value and restoring gives the text back (tested)."""
