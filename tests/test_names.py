@@ -7,7 +7,7 @@ import pytest
 from veilframe import queries
 from veilframe.operators import recognize
 from veilframe.plans.protect import protect
-from veilframe.streaming.restore import Restorer, restore
+from veilframe.streaming.restore import Restorer, restore, restored_stream
 
 
 def test_windows_cover_the_text_and_own_each_place_once():
@@ -72,3 +72,23 @@ def test_restoration_of_changed_words():
     assert restore("Rosss", r) == "Boss"
     assert restore("northwind", r, fuzzy=False) == "northwind"
     assert re.sub(r"\s", "", restore(" \n", r)) == ""
+
+
+def test_stream_gives_held_tails_at_the_end_and_after_idle_time(spark, tmp_path):
+    schema = "conv_id long, seq long, chunk string, last boolean"
+    rows = [(1, 0, "to [P_", False), (1, 1, "1] and", True), (2, 0, "from [P", False)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in")
+    chunks = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    stream = restored_stream(chunks, {"1": {"[P_1]": "Ada"}, "2": {"[P_1]": "Bo"}}, idle_ms=500)
+    query = stream.writeStream.format("memory").queryName("restored").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        for _ in range(60):
+            got = {}
+            for r in spark.table("restored").orderBy("conv_id", "seq").collect():
+                got[r["conv_id"]] = got.get(r["conv_id"], "") + r["text"]
+            if got.get(2) == "from [P":
+                break
+            query.awaitTermination(0.5)
+    finally:
+        query.stop()
+    assert got == {1: "to Ada and", 2: "from [P"}
