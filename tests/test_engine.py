@@ -163,3 +163,32 @@ def test_restorer_holds_back_split_tokens():
 def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def against_sql(spark, tmp_path, name, **tables):
+    """The rows of a query and those of its SQL, over tables given as DataFrames."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
+    return sorted(got, key=repr), sorted(con.execute(__spark_entry__.oracle_sql()[name]).fetchall(), key=repr)
+
+
+def test_scan_card_equals_its_sql_on_odd_numbers(spark, tmp_path):
+    rng = random.Random(4)
+    prefixes = "2200 2221 2720 2721 3095 30 34 35 36 4 401178 50 51 57 6 60 62 65 81 9792 1".split()
+
+    def number():
+        s = rng.choice(prefixes)
+        s += "".join(rng.choice("0123456789") for _ in range(rng.randint(11, 18) - len(s)))
+        s = next(s + c for c in "0123456789" if checks.luhn(s + c))
+        return rng.choice(["", " ", "-", "–"]).join(s[i : i + 4] for i in range(0, len(s), 4))
+
+    odd = ["", "é", "日", "x", "_", ".", ".5", "-", "-7", "​", " ", "１", "١", "\n", "\r\n"]
+    texts = [rng.choice(odd) + number() + rng.choice(odd) + " " + number() for _ in range(1500)] + ["6" * 40, "", None, "4222222222222", "4222222222222 4222222222222"]
+    df = spark.createDataFrame([(i // 2 if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, want = against_sql(spark, tmp_path, "scan_card", documents=df)
+    assert len(want) > 500 and got == want

@@ -60,12 +60,13 @@ def matches(folded: str, active: Iterable[tuple[re.Pattern, DetectorSpec]]) -> I
             yield from ((spec, m) for m in pattern.finditer(folded, a, b))
 
 
-def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]], near: Callable[[int, int], bool] | None = None) -> list[dict]:
+def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]], near: Callable[[int, int], bool] | None = None, fold: bool = True) -> list[dict]:
     """Candidates of one text; offsets are code points of the original text. A failing validator fails the job.
 
-    Detectors that need context are capped to LOW unless near(start, end) finds some.
+    Detectors that need context are capped to LOW unless near(start, end) finds some. Without fold, detectors read the
+    text as written.
     """
-    folded, at = normalize(text)
+    folded, at = normalize(text) if fold else (text, None)
     out = []
     for spec, m in matches(folded, active):
         if m.end() == m.start() or (v := spec.validate(m)) is None:
@@ -77,7 +78,7 @@ def scan(text: str, active: Iterable[tuple[re.Pattern, DetectorSpec]], near: Cal
     return out
 
 
-def candidate_spans(text: Column, region: str | None = None, types: set[str] | None = None, specs: list[DetectorSpec] | None = None, lexicon: dict | None = None) -> Column:
+def candidate_spans(text: Column, region: str | None = None, types: set[str] | None = None, specs: list[DetectorSpec] | None = None, lexicon: dict | None = None, fold: bool = True) -> Column:
     """The candidates of a text column, an array of structs; only the texts go to Python. A null text has none.
 
     With a lexicon, raw_conf is the confidence after the evidence around each candidate, and 0 for a suppressed one.
@@ -94,7 +95,7 @@ def candidate_spans(text: Column, region: str | None = None, types: set[str] | N
         triggers = Triggers(lexicon) if lexicon else None
 
         def of(t: str) -> list[dict]:
-            return scored(t, scan(t, active, near_any(t, triggers)), triggers) if triggers else scan(t, active)
+            return scored(t, scan(t, active, near_any(t, triggers), fold), triggers) if triggers else scan(t, active, fold=fold)
 
         for texts in batches:
             rows = [[c | {"metadata": list(c["metadata"].items())} for c in of(t)] if t else [] for t in texts.to_pylist()]
