@@ -192,3 +192,19 @@ def test_scan_card_equals_its_sql_on_odd_numbers(spark, tmp_path):
     df = spark.createDataFrame([(i // 2 if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got, want = against_sql(spark, tmp_path, "scan_card", documents=df)
     assert len(want) > 500 and got == want
+
+
+def test_span_islands_equals_its_sql_on_null_dates(spark, tmp_path):
+    # an order's dates differ, as the SQL leaves open which of two equal spans comes first, and so which one is fresh
+    rng = random.Random(6)
+    dates = ["1991-12-30", *(f"1995-0{m}-{d}" for m in (1, 2, 3) for d in (10, 20, 28))]
+    rows = [(k, d) for k in (None, *range(60)) for d in rng.sample(dates, rng.randint(0, 8)) + [None] * rng.randint(0, 4)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_shipdate string").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    got, want = against_sql(spark, tmp_path, "span_islands", lineitem=df)
+    assert len([r for r in want if r[1] is None]) > 20 and got == want
+
+
+def test_islands_of_equal_spans(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 9, 12), (1, 9, 12), (1, 11, 20), (2, None, None), (2, None, None), (2, 9, 12)], "k int, start int, end int")
+    got = sorted(map(tuple, spans.islands(df, ["k"]).collect()), key=repr)
+    assert got == sorted([(1, 0, 5, 1), (1, 9, 20, 3), (2, None, None, 1), (2, None, None, 1), (2, 9, 12, 1)], key=repr)

@@ -15,11 +15,11 @@ def overlaps(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Maximal runs of overlapping spans: keys, start, end, n."""
+    """Maximal runs of overlapping spans: keys, start, end, n. A span with a null start or end overlaps none and is a run."""
     order = Window.partitionBy(*keys).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("__new", F.when(F.col("start") < before, 0).otherwise(1))
-    numbered = marked.withColumn("__island", F.sum("__new").over(order))
+    numbered = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("__island")
 
 
