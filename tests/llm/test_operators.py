@@ -200,6 +200,32 @@ def test_examples_are_the_texts_contexts():
     assert 0.23 < sum(taken) / 20_000 < 0.27 and taken[:1000] != taken[1000:]
 
 
+def test_training_takes_every_token(spark):
+    import numpy as np
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(120)]  # each word is in one place
+    words = sorted({w for t in texts for w in language_model.tokens(t)})
+    model = language_model.LogBilinear(np.arange(len(words) + 1.0, 1, -1))
+    before = model.p["r"].copy()
+    df = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(4)
+    language_model.train(model, df, (dict.fromkeys(words, 1), np.arange(len(words)), np.zeros(language_model.SHAPES, dtype=np.int64)))
+    learnt = (model.p["r"] != before).any(1)  # a vector is learnt where its word is a context
+    assert sorted(words[i] for i in np.flatnonzero(~learnt[:-1])) == ["\n".encode()] and learnt[-1]
+
+
+def test_step_sums_and_draws():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for index, rows, of, factor in ((rng.integers(0, 40, 90), rng.random((30, 5)).astype(np.float32), rng.integers(0, 30, 90), rng.random(90).astype(np.float32)), (np.arange(9), rng.random((9, 3)), None, None), (np.zeros(7, dtype=int), rng.random((7, 2)), None, None)):
+        at, sums = language_model.summed_rows(index, rows, of, factor)
+        each = (rows if of is None else rows[of]) * (1 if factor is None else factor[:, None])
+        assert at.tolist() == sorted(set(index.tolist())) and np.allclose(sums, [each[index == k].sum(0) for k in at], rtol=1e-5)
+    for share in (np.array([5.0, 1, 1, 1]), np.ones(3), np.array([2.0]), rng.random(50)):
+        keep, other = language_model.alias_table(share)
+        assert np.allclose((keep + np.bincount(other, 1 - keep, len(share))) / len(share), share / share.sum())
+
+
 def test_averaged_round_weighs_by_rows(spark):
     import numpy as np
 

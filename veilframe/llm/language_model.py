@@ -9,10 +9,10 @@ biases, normalised over all groups, or all symbols of the group. A batch of cont
 and one for each group's symbols. Under a shape, a word has its smoothed share (c + 1) / (N_shape + V_shape + 1) of counts
 over all training documents.
 
-Training takes ROUNDS rounds over all training documents. In a round, blocks of BLOCK tokens at random places, SHARE of all
-tokens, train a copy of the network in the task that reads them, and the tasks' parameters are averaged, weighted by their
-examples; so what the network learns from grows with the corpus. Both levels are trained by noise-contrastive estimation:
-a batch shares NOISE_GROUPS draws of groups, and each token is told from NOISE_WORDS draws of its group's symbols.
+Training takes every token of all training documents once. ROUNDS rounds share the documents out by a hash of their texts; in
+a round, each task trains a copy of the network on all tokens of the round's documents that it reads, and the tasks'
+parameters are averaged, weighted by their examples. Both levels are trained by noise-contrastive estimation: a batch
+shares NOISE_GROUPS draws of groups, and each token is told from NOISE_WORDS draws of its group's symbols.
 
 The counts of the KNOWN_WORDS most frequent words go to the tasks (a bound by number and word length); all other words of
 a document are joined with the count table.
@@ -41,7 +41,7 @@ from veilframe.llm.learning import averaged_round, packed_up, unpacked
 
 VOCABULARY, SHAPES, GROUPS = 16_384, 16, 128
 WIDTH, NOISE_GROUPS, NOISE_WORDS, BATCH, RATE, SEED = 24, 64, 3, 2048, 0.3, 11
-ROUNDS, SHARE, BLOCK = 2, 0.2, 32
+ROUNDS, BLOCK = 2, 32
 KNOWN_WORDS, KNOWN_BYTES = 250_000, 48
 #: Distinct words that a counting task holds before it hands them on; tokens that are scored at a time, and that meet all groups at a time.
 HELD_WORDS, SCORED, GROUP_BATCH = 400_000, 1 << 15, 1 << 10
@@ -154,7 +154,27 @@ def summed_rows(index: np.ndarray, rows: np.ndarray, of: np.ndarray | None = Non
     taken = rows.take(order if of is None else of[order], axis=0)
     if factor is not None:
         taken *= factor[order, None]
-    return ordered[firsts], np.add.reduceat(taken, firsts, axis=0)
+    # most numbers occur once; only the others' rows are added up
+    times = np.diff(firsts, append=len(index))
+    sums, many = taken.take(firsts, axis=0), np.flatnonzero(times > 1)
+    if len(many):
+        some = times[many]
+        starts = np.cumsum(some) - some
+        sums[many] = np.add.reduceat(taken.take(np.arange(some.sum()) + np.repeat(firsts[many] - starts, some), axis=0), starts, axis=0)
+    return ordered[firsts], sums
+
+
+def alias_table(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's table: a place of the n drawn evenly is kept with chance keep, else exchanged for other; both give share."""
+    n = len(share)
+    left, keep, other = share / share.sum() * n, np.ones(n), np.arange(n)
+    small, large = [i for i in range(n) if left[i] < 1], [i for i in range(n) if left[i] >= 1]
+    while small and large:
+        a, b = small.pop(), large.pop()
+        keep[a], other[a] = left[a], b
+        left[b] -= 1 - left[a]
+        (small if left[b] < 1 else large).append(b)
+    return keep, other
 
 
 class LogBilinear:
@@ -173,7 +193,8 @@ class LogBilinear:
         groups = int(self.group[-1]) + 1
         self.edges = np.searchsorted(self.group, np.arange(groups + 1))
         self.group_share = np.add.reduceat(share, self.edges[:-1])
-        self.cumulative = np.concatenate([[0.0], np.cumsum(share)])
+        tables = [alias_table(share[a:b]) for a, b in zip(self.edges, self.edges[1:])]
+        self.keep, self.other = np.concatenate([k for k, _ in tables]), np.concatenate([o + a for (_, o), a in zip(tables, self.edges)])
         self.log_in_group = np.log(share / self.group_share[self.group]).astype(np.float32)
         self.log_group = np.log(self.group_share).astype(np.float32)
         self.shapes = [(v + 1, WIDTH), (WIDTH,), (WIDTH,), (groups, WIDTH + 1), (v, WIDTH + 1)]
@@ -201,31 +222,37 @@ class LogBilinear:
         sig = lambda s: 1 / (1 + np.exp(-s))
         r_one, r_two = p["r"].take(one, axis=0), p["r"].take(two, axis=0)
         h, group, every = self.hidden(r_one * p["c1"], r_two * p["c2"]), self.group[w], np.arange(n)
-        # groups: one set of draws for the batch; d has a row for each token and a column for each group
-        noise = rng.choice(len(self.log_group), k, p=self.group_share)
-        scores = h @ p["g"].T - math.log(k) - self.log_group
-        drawn = np.bincount(noise, minlength=len(self.log_group)).astype(np.float32)
-        d = sig(scores) * drawn
-        d[every, group] += sig(scores[every, group]) - 1
-        d /= n
-        dh = d @ p["g"]
-        grad = {"g": (np.arange(len(self.log_group)), d.T @ h)}
+        # groups: one set of draws for the batch, and each token's own; d has a row for each token and a column for each drawn group
+        scale, shift = np.float32(n**-0.5), math.log(k) + self.log_group
+        times = np.bincount(rng.choice(len(self.log_group), k, p=self.group_share), minlength=len(self.log_group)).astype(np.float32)
+        drawn = np.flatnonzero(times)
+        g, own = p["g"].take(drawn, axis=0), p["g"].take(group, axis=0)
+        d = sig(h @ g.T - shift[drawn]) * (times[drawn] * scale)
+        d_own = (sig(np.einsum("nd,nd->n", h, own) - shift[group]) - 1) * scale
+        dh = d @ g + own * d_own[:, None]
+        of_group = np.zeros_like(p["g"])
+        of_group[drawn] = d.T @ h
+        at, x = summed_rows(group, h, every, d_own)
+        of_group[at] += x
+        grad = {"g": (np.arange(len(self.log_group)), of_group)}
         # symbols of the token's group: draws for each token
-        lo, hi = self.cumulative[self.edges[group]], self.cumulative[self.edges[group + 1]]
-        drawn = np.searchsorted(self.cumulative, lo[:, None] + rng.random((n, NOISE_WORDS)) * (hi - lo)[:, None], side="right") - 1
-        words = np.concatenate([w[:, None], np.clip(drawn, self.edges[group][:, None], self.edges[group + 1][:, None] - 1)], 1)
+        first = self.edges[group]
+        place = rng.random((n, NOISE_WORDS)) * (self.edges[group + 1] - first)[:, None]
+        drawn = place.astype(np.int64)
+        place -= drawn
+        drawn += first[:, None]
+        words = np.concatenate([w[:, None], np.where(place < self.keep.take(drawn), drawn, self.other.take(drawn))], 1)
         vectors = p["q"].take(words, axis=0)
         s = np.einsum("nd,nkd->nk", h, vectors) - math.log(NOISE_WORDS) - self.log_in_group.take(words)
         d = sig(s).astype(np.float32)
         d[:, 0] -= 1
-        d /= n
+        d *= scale
         dh = (dh + np.einsum("nk,nkd->nd", d, vectors))[:, :WIDTH]
         grad["q"] = summed_rows(words.ravel(), h, np.repeat(every, words.shape[1]), d.ravel())
         whole = np.arange(WIDTH)
         grad["c1"], grad["c2"] = (whole, (dh * r_one).sum(0)), (whole, (dh * r_two).sum(0))
         grad["r"] = summed_rows(np.concatenate([one, two]), np.concatenate([dh * p["c1"], dh * p["c2"]]))
         for name, (at, x) in grad.items():
-            x *= np.float32(n**0.5)
             square = self.square[name].take(at, axis=0) + x * x
             self.square[name][at] = square
             x /= np.sqrt(square, out=square)
@@ -266,11 +293,12 @@ def log_sum(scores: np.ndarray) -> np.ndarray:
     return most + np.log(np.exp(scores - most[:, None]).sum(1))
 
 
-def train(model: LogBilinear, training: DataFrame, reader: tuple, rounds: int = ROUNDS, share: float = SHARE) -> None:
-    """Rounds over all rows of training (text); see the module's docstring."""
+def train(model: LogBilinear, training: DataFrame, reader: tuple, rounds: int = ROUNDS) -> None:
+    """Rounds over the rows of training (__text), which take each token once; see the module's docstring."""
     shared = training.sparkSession.sparkContext.broadcast(reader)
     net_of = {k: x for k, x in vars(model).items() if k not in ("p", "square")}
     for turn in range(rounds):
+        mine = F.pmod(F.crc32(F.col("__text").cast("binary")), F.lit(rounds)) == turn
 
         def fit(vector: np.ndarray, batches, turn=turn) -> tuple[np.ndarray, int]:
             read, net = Reader(*shared.value), LogBilinear.__new__(LogBilinear)
@@ -290,7 +318,7 @@ def train(model: LogBilinear, training: DataFrame, reader: tuple, rounds: int =
 
             for whole in batches:
                 for b in cut(whole, "__text"):
-                    x = examples(b.column(0).to_pylist(), read, start, share, turn)
+                    x = examples(b.column(0).to_pylist(), read, start, 1.0, turn)
                     held.append(x)
                     taken += len(x)
                     if sum(map(len, held)) >= 64 * BATCH:
@@ -299,16 +327,20 @@ def train(model: LogBilinear, training: DataFrame, reader: tuple, rounds: int =
                 learn()
             return net.vector(), taken
 
-        model.load(averaged_round(training, model.vector(), fit))
+        model.load(averaged_round(training.where(mine), model.vector(), fit))
     shared.unpersist()
 
 
 def examples(texts: list[str], read: Reader, start: int, share: float, turn: int) -> np.ndarray:
-    """(one before, two before, symbol) rows of random blocks of the texts; a block's first tokens see those before it."""
+    """(one before, two before, symbol) rows of the texts, or of random blocks of them; a block's first tokens see those before it."""
     flat: list[bytes] = []
     heads, inner = [], []
     for t in texts:
         words = tokens(t)
+        if share >= 1:
+            heads.append(len(flat))
+            flat += words
+            continue
         for a in random_blocks(t, len(words), share, turn):
             (inner if a else heads).append(len(flat))
             flat += words[max(0, a - 2) : a + BLOCK]
